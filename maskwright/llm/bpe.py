@@ -12,7 +12,6 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +135,16 @@ class Automaton:
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Letters and numbers that are newer than Python's own tables.
+_NEWER = {
+    "L": (
+        "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E "
+        "11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0 "
+    ),
+    "N": (
+        "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA "
+    ),
+}
 #: Capitals that are newer than Python's own tables.
 _NEW = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _NEW |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
@@ -151,17 +160,17 @@ def lower(text: str) -> str:
     return text.lower()
 
 
-def _runs(found: str) -> list[str]:
-    """Cuts a string of increasing characters where one is left out."""
-    cuts = [0, *(i for i in range(1, len(found)) if ord(found[i]) != ord(found[i - 1]) + 1), len(found)]
-    return [found[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 @lru_cache(4)
 def _pieces(top: int):
     """Finds the pieces of a text without characters beyond ``top``: small classes are looked up much faster."""
-    every = "".join(chr(c) for c in range(top + 1) if not 0xD800 <= c < 0xE000)
-    classes = ["".join(f"\\U{ord(x[0]):08x}-\\U{ord(x[-1]):08x}" for run in regex.findall(rf"\p{{{kind}}}+", every) for x in _runs(run)) for kind in "LN"]
+    classes = []
+    for kind, newer in _NEWER.items():
+        found = {c for c in range(top + 1) if unicodedata.category(chr(c))[0] == kind}
+        for x in newer.split():
+            lo, _, hi = x.partition("-")
+            found |= {c for c in range(int(lo, 16), int(hi or lo, 16) + 1) if c <= top}
+        starts, ends = sorted(c for c in found if c - 1 not in found), sorted(c for c in found if c + 1 not in found)
+        classes.append("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)))
     letters, numbers = classes
     return re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
 
