@@ -230,7 +230,10 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-codec = lru_cache(1)(Codec)
+@lru_cache(1)
+def codec(path: str) -> Codec:
+    """The codec of a file, compiled once in each worker."""
+    return Codec(path)
 
 
 def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
