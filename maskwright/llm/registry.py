@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from maskwright.llm import bpe, decontam, sharding, simhash
+from maskwright.llm import bpe, decontam, langid, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_language": langid.op4_language,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_bpe": bpe.op7_bpe,
     "op10_byte_shards": sharding.op10_byte_shards,
