@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from maskwright.llm import bpe, decontam, langid, sharding, simhash
+from maskwright.llm import bpe, decontam, langid, licenses, secrets, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_licenses": licenses.op3_licenses,
     "op4_language": langid.op4_language,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_bpe": bpe.op7_bpe,
+    "op9_secrets": secrets.op9_secrets,
     "op10_byte_shards": sharding.op10_byte_shards,
 }
-SQL = decontam.SQL | sharding.SQL
+SQL = decontam.SQL | licenses.SQL | secrets.SQL | sharding.SQL
