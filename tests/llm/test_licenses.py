@@ -11,7 +11,7 @@ def test_places_and_labels(spark):
     ]
     df = spark.createDataFrame([(t, i, "q") for i, t in rows], "text string, doc_id long, labels string").repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(df).collect()}
-    assert got[1][:6] == (10, 3, 1, 7, "apache,gpl,mit", "apache,gpl,mit") and got[1][6] == 1
+    assert got[1][:6] == (11, 3, 1, 8, "apache,gpl,mit", "apache,gpl,mit") and got[1][6] == 1
     assert got[2] == got[3] == (0, 0, None, None, "", "", 0.0)
     assert got[4] == (5, 0, None, None, "", "", 0.0)
     assert got[5][4:] == ("", "mit", 1.0)
