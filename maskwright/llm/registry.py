@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskwright.llm import bpe, decontam, langid, licenses, secrets, sharding, simhash
+from maskwright.llm import bpe, decontam, embeddings, langid, licenses, secrets, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language": langid.op4_language,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_bpe": bpe.op7_bpe,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_secrets": secrets.op9_secrets,
     "op10_byte_shards": sharding.op10_byte_shards,
 }
