@@ -119,6 +119,35 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
     yield block
 
 
+def _each(shared: list, size: int):
+    """Gives the queries of the blocks, again and again; a worker keeps those of a single block, and else one at a time."""
+    kept = [Queries(shared[0].value, size)] if len(shared) == 1 else []
+
+    def queries() -> Iterator[Queries]:
+        yield from kept
+        for b in shared if not kept else []:
+            yield Queries(b.value, size)
+            del b._value  # else the worker keeps every block
+
+    return queries
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit (see :func:`decontaminate`), with all their columns and no shuffle."""
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = _each(shared, size)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                hits = _hits(list(range(part.num_rows)), part.column(text_col).to_pylist(), queries()).column(2).to_numpy()
+                yield part.filter(pa.array(hits == 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, items array<long>`` for each row of ``docs``: exact occurrences of the items' windows.
 
@@ -134,14 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     shared = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [Queries(shared[0].value, size)] if len(shared) == 1 else []
-
-        def queries() -> Iterator[Queries]:
-            yield from kept
-            for b in shared if not kept else []:
-                yield Queries(b.value, size)
-                del b._value  # else the worker keeps every block
-
+        queries = _each(shared, size)
         ids: list = []
         texts: list = []
         held = 0

@@ -165,6 +165,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which the language is not rejected, with all their columns and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            found = [m.predict(t) for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array([x != UND and s >= m.threshold for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by a model of those not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
