@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.presets import PRESETS
 from maskwright.functions.seed import Spark
 from maskwright.plans.config import Rule
+from maskwright.plans.shared import written
 
 SPARK = Spark()
 #: Rounds after which a pool of values counts as exhausted.
@@ -22,15 +19,6 @@ class PoolExhausted(RuntimeError):
     """A unique column has more values than its preset can make."""
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the folder all executors share."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "maskwright-shared")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def candidates(values: DataFrame, rule: Rule, key: bytes, attempt: int, max_len: int | None) -> DataFrame:
     """``input, output``: what the preset makes of each input at an attempt, cut to the column's length."""
     preset = PRESETS[rule.value]
@@ -49,7 +37,7 @@ def unique_mapping(values: DataFrame, rule: Rule, key: bytes, max_len: int | Non
     are compared by an aggregate and not gathered.
     """
     spark = values.sparkSession
-    left = _table(values.where("input is not null and input <> ''").distinct(), "unique")
+    left = written(values.where("input is not null and input <> ''").distinct(), "unique")
     taken: DataFrame | None = None
     for attempt in range(attempts + 1):
         if left.isEmpty():
@@ -59,9 +47,8 @@ def unique_mapping(values: DataFrame, rule: Rule, key: bytes, max_len: int | Non
             made = made.join(taken.select(F.col("output").alias("gone")), F.col("output") == F.col("gone"), "left")
         else:
             made = made.withColumn("gone", F.lit(None).cast("string"))
-        made = _table(made, "unique")
         won = made.where("gone is null").groupBy("output").agg(F.min_by("input", "turn").alias("input")).select("input", "output", F.lit(attempt).alias("attempt"))
-        taken = _table(won if taken is None else taken.unionByName(won), "unique")
-        left = _table(left.join(taken.select("input"), "input", "left_anti"), "unique")
+        taken = written(won if taken is None else taken.unionByName(won), "unique")
+        left = written(left.join(taken.select("input"), "input", "left_anti"), "unique")
     raise PoolExhausted(f"{rule.value} has too few values for a unique column")
 

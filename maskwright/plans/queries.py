@@ -399,3 +399,68 @@ SQL["anonymize_people"] = (
     + " from s"
 )
 QUERIES["anonymize_people"] = flagship
+
+
+def _customer_dump(spark: SparkSession, sf_dir: str) -> str:
+    from maskwright.sources.generate import dump_of
+
+    return dump_of(spark, {"customer": (table(spark, sf_dir, "customer"), "c_custkey"), "nation": (table(spark, sf_dir, "nation"), "n_nationkey")}, lengths={"customer": {"c_name": 40}})
+
+
+@query("dump_parse", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+def _(spark, sf_dir):
+    from maskwright.sources.mysqldump import read_dump
+
+    return read_dump(spark, _customer_dump(spark, sf_dir)).table("customer")
+
+
+@query("dump_roundtrip", "select 'customer' as name, count(*) as n, true as same from customer union all select 'nation', count(*), true from nation")
+def _(spark, sf_dir):
+    from maskwright.plans.shared import shared_path
+    from maskwright.sources.mysqldump import read_dump, write_dump
+
+    path = _customer_dump(spark, sf_dir)
+    one = read_dump(spark, path)
+    write_dump(one.statements, again := shared_path(spark, "dump"))
+    two = read_dump(spark, again)
+    out = None
+    for t in ("customer", "nation"):
+        a, b = one.table(t), two.table(t)
+        same = a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        row = b.agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.lit(same).alias("same"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("dump_anonymize", f"with x as ({duck_preset('full_name', 'c_name', 'select * from customer', extra='c_custkey, c_nationkey, c_acctbal, c_mktsegment')}) select c_custkey, substr(c_name, 1, 40) as c_name, c_nationkey, c_acctbal, 'x' as c_mktsegment from x")
+def _(spark, sf_dir):
+    from maskwright.plans.shared import shared_path
+    from maskwright.sources.mysqldump import anonymize_dump, read_dump, write_dump
+
+    config = cfg.parse("tables: {customer: {c_name: full_name, c_mktsegment: 'constant(\"x\")'}}\nskip_tables: [nation]\ndefaults: {on_unclassified: keep}")
+    write_dump(anonymize_dump(read_dump(spark, _customer_dump(spark, sf_dir)), config, KEY), out := shared_path(spark, "dump"))
+    return read_dump(spark, out).table("customer")
+
+
+@query("stream_anonymize", SQL["preset_email"])
+def _(spark, sf_dir):
+    from maskwright.plans.shared import shared_path, written
+    from maskwright.streaming.files import run_available
+
+    source = shared_path(spark, "in")
+    people(spark, sf_dir).select("id", "email").write.parquet(source)
+    out = run_available(spark, source, shared_path(spark, "out"), "t", cfg.parse("tables: {t: {email: email}}"), KEY)
+    return written(out, "streamed")
+
+
+@query("generated_shop", "select 'customers' as name, 1500 as n union all select 'orderdetails', 12000 union all select 'orders', 3000 union all select 'payments', 3000 union all select 'user', 750")
+def _(spark, sf_dir):
+    from maskwright.sources.generate import dump_of, shop
+    from maskwright.sources.mysqldump import read_dump
+
+    dump = read_dump(spark, dump_of(spark, shop(spark, 1500)))
+    out = None
+    for t in sorted(dump.tables):
+        row = dump.table(t).agg(F.lit(t).alias("name"), F.count("*").cast("int").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
