@@ -66,12 +66,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, seed: int = 7) -> Model:
-    """Fits (text, language) rows by stochastic gradient descent; a fifth of them only calibrates.
+def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, steps: int = 300, seed: int = 7) -> Model:
+    """Fits (text, language) rows by stochastic gradient descent; a fifth of them only calibrates. Few rows get more epochs, for
+    ``steps`` steps in all at least.
 
     Each epoch sees every text whole and as a random run of 2 to 12 words, since texts to name may be very short. The
     temperature minimizes the loss on the calibration texts and such runs of theirs; the threshold is the score under which
-    REJECT of the correctly named ones lie.
+    REJECT of the correctly named ones lie, and one half at most.
     """
     languages = sorted({lang for _, lang in rows})
     if not languages:
@@ -91,6 +92,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, seed:
     lin, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
     whole = [np.unique(subwords(t), return_counts=True) for t, _ in fit]
     target = np.array([number[lang] for _, lang in fit])
+    epochs = max(epochs, -(-steps * 32 // len(fit)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(len(fit)), max(1, len(fit) // 32)):
@@ -123,7 +125,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 2.0, seed:
         model.temperature = float(min(np.geomspace(0.05, 20, 120), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum()))
         p = _softmax(z / model.temperature)
         right = p.max(1)[p.argmax(1) == y]
-        model.threshold = float(np.quantile(right, REJECT)) if len(right) else 0.0
+        model.threshold = min(0.5, float(np.quantile(right, REJECT))) if len(right) else 0.0
     return model
 
 
