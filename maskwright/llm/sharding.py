@@ -69,7 +69,7 @@ SQL = {
     "op10_byte_shards": f"""
 with d as (select doc_id, octet_length(coalesce(encode(text), ''::blob)) as n, hex(coalesce(encode(text), ''::blob)) as h from documents),
 c as (select doc_id, n + 1 as size, xor(4294967295, list_reduce(
-        list_transform(range(0, n), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint)),
+        list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as bigint)),
         lambda crc, b: xor(crc >> 8, ({_crc_table()}::bigint[])[cast(xor(crc, b) & 255 as integer) + 1]), 4294967295::bigint)) as text_crc32 from d),
 s as (select *, sum(size) over (order by doc_id rows unbounded preceding) as upto, sum(size) over () as total,
              row_number() over (order by doc_id) - 1 as row from c),
