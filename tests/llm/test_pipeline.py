@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -19,16 +20,12 @@ def test_stages_against_plain_python(spark):
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == kept and len(kept) > 0.98 * len(rows)
 
     ids = sorted(kept)
-    fps = dict(zip(ids, simhash._fingerprints([rows[i].text for i in ids], 5).tolist(), strict=True))
-    comp = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for i in ids:
-            least = min(comp[j] for j in ids if (fps[i] ^ fps[j]).bit_count() <= 7)
-            if least < comp[i]:
-                comp[i], changed = least, True
-    kept = {i for i in ids if comp[i] == i}
+    fps = simhash._fingerprints([rows[i].text for i in ids], 5, simhash.WIDTH)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2) <= simhash.similarity_radius(0.8)
+    comp = np.arange(len(ids))
+    for _ in ids:
+        comp = np.where(near, comp[None, :], len(ids)).min(1)
+    kept = {i for n, i in enumerate(ids) if comp[n] == n}
     two = pipeline.near_duplicates(spark, one, SMALL)
     assert two.columns == docs.columns and {r.doc_id for r in two.collect()} == kept
 

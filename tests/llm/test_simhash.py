@@ -29,16 +29,17 @@ def test_fingerprint_of_long_text():
     assert int(simhash._fingerprints([text], 4)[0]) == plain_fp(text, 4)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 4, 7, 14])
-def test_forest_is_exact(radius):
+@pytest.mark.parametrize("width", [1, 3])
+@pytest.mark.parametrize("radius", [0, 1, 4, 7, 14, 46])
+def test_forest_is_exact(radius, width):
     rng = np.random.default_rng(radius)
-    base = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    base = rng.integers(0, 2**64, (6, width), dtype=np.uint64)
     fps = base[rng.integers(0, 6, 300)]
     for _ in range(5):
-        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) * rng.integers(0, 2, 300).astype(np.uint64)
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, (300, width)).astype(np.uint64)) * rng.integers(0, 2, (300, width)).astype(np.uint64)
     group = np.sort(rng.integers(0, 4, 300))
     u, v = simhash._forest(fps, group, radius)
-    near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius) & (group[:, None] == group[None, :])
+    near = (np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2) <= radius) & (group[:, None] == group[None, :])
     label = np.arange(300)
     for _ in range(300):
         label = np.where(near, label[None, :], 999).min(1)
@@ -55,6 +56,26 @@ def truth(rows, k, radius):
     return [(rows[i][0], min((rows[j][0] for j in range(len(rows)) if comp[j] == comp[i] and rows[j][0] is not None), default=None)) for i in range(len(rows))]
 
 
+@pytest.mark.parametrize("part", [8, 2048])
+def test_similar_links(spark, part):
+    """Of texts at several similarities, which pairs are in one group."""
+    rng = np.random.default_rng(4)
+    texts, wanted = [], {}
+    for base in range(40):
+        t = [f"b{base}w{x}" for x in range(300)]
+        for edits in (0, 1, 3, 5, 40):
+            u = list(t)
+            for at in rng.choice(300, edits, replace=False):
+                u[at] = f"e{rng.integers(1 << 30)}"
+            wanted[len(texts)] = edits < 40
+            texts.append(" ".join(u))
+    fps = simhash._fingerprints(texts, 5, simhash.WIDTH)
+    reps = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(fps)], "rep long, fp binary").repartition(3)
+    got = {r.node: r.component for r in components(simhash.similar_links(reps, 0.8, part)).collect()}
+    assert sum(got.get(i) == i // 5 * 5 for i, near in wanted.items() if near) >= 155
+    assert not any(i in got for i, near in wanted.items() if not near)
+
+
 @pytest.mark.parametrize("part", [4, 512])
 def test_components_against_brute_force(spark, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART", part)
