@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies by five-word shingles."""
-    return simhash.simhash_dedup(docs, k=5, radius=7)
+    """One document, that of the least id, of each group of near copies: five-word shingles, similarity 0.8."""
+    return simhash.simhash_dedup(docs, k=5, similarity=0.8)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
