@@ -36,8 +36,8 @@ class Classification:
         return self.score >= REVIEW
 
 
-METADATA = set("id ids uuid count type status enabled verified at".split())
-TECHNICAL = set("table file class role host route column field domain path dir method event template bucket queue job server database schema index module service package device browser type".split())
+METADATA = set("at count enabled id ids status type uuid verified".split())
+TECHNICAL = set("browser bucket class column database device dir domain event field file host index job method module package path queue role route schema server service table template type".split())
 #: In order, the first that fits decides: preset, words (or sequences of words), beginnings and ends of a word, reason.
 NAMES: list[tuple[str, str, str, str, str]] = [
     ("email", "email mail courriel", "email courriel", "", "name"),
@@ -57,7 +57,7 @@ NAMES: list[tuple[str, str, str, str, str]] = [
     ("siren", "siren", "", "", "name"),
     ("vat", "vat tva", "", "", "name"),
 ]
-NOT_VAT = set("rate taux amount montant percent pct total ht ttc".split())
+NOT_VAT = set("amount ht montant pct percent rate taux total ttc".split())
 
 
 def words_of(name: str) -> list[str]:
