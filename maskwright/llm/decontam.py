@@ -80,6 +80,32 @@ class Index:
         return window, start
 
 
+    def near(self, q: Queries, reach: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, place of its rarest term) where each other term of the window is at most ``reach`` words away, on either side
+        and in any order, in the same document. ``ends`` are the places of the gaps after the documents.
+        """
+        if not len(q.rows):
+            return np.empty(0, int), np.empty(0, int)
+        often = np.where(q.rows >= 0, self.count[q.rows], np.iinfo(np.int64).max)
+        order = np.argsort(often, axis=1, kind="stable")
+        rare = np.take_along_axis(often, order[:, :1], 1)[:, 0]
+        live = np.flatnonzero(rare > 0)
+        window = np.repeat(live, rare[live])
+        nth = np.arange(len(window)) - np.repeat(np.cumsum(rare[live]) - rare[live], rare[live])
+        at = self.at[self.first[q.rows[window, order[window, 0]]] + nth]
+        size = len(self.shard) + 1
+        keys = self.shard[self.at] * size + self.at  # in order: by term, then place
+        for j in range(1, q.rows.shape[1]):
+            term = q.rows[window, order[window, j]]
+            doc = np.searchsorted(ends, at, "right")
+            begin = np.where(doc > 0, ends[np.maximum(doc - 1, 0)] + 1, 0)
+            low, high = np.maximum(at - reach, begin), np.minimum(at + reach, ends[doc])
+            found = np.searchsorted(keys, term * size + low)
+            ok = (term < 0) | (np.append(keys, np.iinfo(np.int64).max)[found] <= term * size + high)
+            window, at = window[ok], at[ok]
+        return window, at
+
+
 def _hits(ids: list, texts: list[str | None], blocks: Iterator[Queries]) -> pa.RecordBatch:
     """The row of each document of a shard: words, hit words and items, over all blocks of queries."""
     words = [words_of(t) for t in texts]
@@ -182,6 +208,47 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return plain.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
 
 
+def near_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, reach: int = 15, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, word``: where all words of a window of an item stand within ``reach`` words of its rarest one.
+
+    The rarest word is that of the shard, the first of equals; a place is given once for each item. Nulls, empty tables and clashing
+    names as in :func:`decontaminate`.
+    """
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = _each(shared, size)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                words = [words_of(t) for t in part.column(1).to_pylist()]
+                ids = part.column(0).to_pylist()
+                ends = np.cumsum([len(w) + 1 for w in words]) - 1
+                rows: set[tuple[int, int, int]] = set()
+                for q in queries():
+                    shard = np.array([x for w in words for x in (*(q.terms.get(t, -1) for t in w), -1)], np.int64)
+                    for w, at in zip(*(x.tolist() for x in Index(shard, len(q.terms)).near(q, reach, ends)), strict=True):
+                        d = int(np.searchsorted(ends, at, "right"))
+                        rows |= {(d, q.names[i], at - (int(ends[d - 1]) + 1 if d else 0)) for i in q.items[q.first[w] : q.first[w] + q.count[w]].tolist()}
+                got = sorted(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _, _ in got], pa.int64()), pa.array([i for _, i, _ in got], pa.int64()), pa.array([w for _, _, w in got], pa.int64())], ["doc_id", "item_id", "word"])
+
+    plain = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return plain.mapInArrow(run, "doc_id long, item_id long, word long")
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``term, doc_id, positions array<int>``: the index as a table, for use beyond one search.
+
+    A list is of one document, so a frequent term has many rows and no long one.
+    """
+    plain = only(docs, id_col, text_col)
+    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    each = plain.select(F.col(id_col).alias("doc_id"), F.posexplode(words).alias("place", "term"))
+    return each.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("place")).alias("positions"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, windows of 10 words."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

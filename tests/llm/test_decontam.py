@@ -50,3 +50,17 @@ def test_frames(spark, monkeypatch, block):
     assert sorted(got, key=str) == sorted(brute(docs, items, 3), key=str)
     assert decontam.decontaminate(frame.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontam.decontaminate(frame, bench.limit(0)).collect()} == {0}
+
+
+def test_near_matches(spark):
+    docs = [(1, "c b a x x"), (2, "a x x x x b c"), (3, None), (4, "b c"), (5, "a b"), (6, "c x a"), (None, "a b c")]
+    items = [(7, "a b c"), (8, "A c"), (None, "a")]
+    frame = spark.createDataFrame([(t, i, 0) for i, t in docs], "text string, doc_id long, word int").coalesce(1)
+    got = decontam.near_matches(frame, spark.createDataFrame(items, "item_id long, text string"), 3, 2)
+    pairs = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert pairs == {(1, 7), (1, 8), (6, 8), (None, 7), (None, 8)}
+
+
+def test_postings(spark):
+    got = decontam.postings(spark.createDataFrame([(1, "É a, B a"), (2, None), (3, "b")], "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 1, [1, 3]), ("b", 1, [2]), ("b", 3, [0]), ("É", 1, [0])]
