@@ -9,6 +9,7 @@ anchors leave a small part to be counted. The arrays serve single documents (:fu
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -207,9 +208,15 @@ def _sent(bucket: int, rows: Rows) -> pa.Table:
 
 
 def _free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that are written and done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of tables that are written and done.
+
+    It does so when the driver's JVM finds them unused, which without this may be long after; a first collection only finds what
+    holds them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _compared(hashes: DataFrame, name: str) -> DataFrame:
@@ -241,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     files = min(4096, max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keyed = raw.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     name = f"texts_{uuid.uuid4().hex}"
-    keyed.repartition(files, "bucket").write.bucketBy(files, "bucket").sortBy("bucket").option("path", place := f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    keyed.repartition(files, "bucket").write.bucketBy(files, "bucket").sortBy("bucket").option("compression", "zstd").option("path", place := f"{shared_dir(spark)}/{name}").saveAsTable(name)
     _free(spark)
     texts = spark.table(name)
 
