@@ -25,9 +25,13 @@ def test_stages_against_plain_python(spark):
     comp = np.arange(len(ids))
     for _ in ids:
         comp = np.where(near, comp[None, :], len(ids)).min(1)
-    kept = {i for n, i in enumerate(ids) if comp[n] == n}
+    exact = {i for n, i in enumerate(ids) if comp[n] == n}
     two = pipeline.near_duplicates(spark, one, SMALL)
-    assert two.columns == docs.columns and {r.doc_id for r in two.collect()} == kept
+    kept = {r.doc_id for r in two.collect()}
+    # the tables' recall is 0.95 at the similarity: nothing goes wrongly, and little stays that is only just similar
+    assert two.columns == docs.columns and exact <= kept and len(kept - exact) <= 0.05 * (len(ids) - len(exact)) + 1
+    bits = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2) + 256 * np.eye(len(ids), dtype=int)
+    assert all(bits[ids.index(i)].min() > 0.75 * simhash.similarity_radius(0.8) for i in kept - exact)
 
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     grams = {tuple(w[k : k + 10]) for _, t in items for w in [decontam.words_of(t)] for k in range(max(1, len(w) - 9))}
