@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import drop_table, materialize, only
 from maskwright.llm.graph import components
+from maskwright.llm.jaccard import jaccard_components
 
 #: Fingerprints that are compared with each other in one group at most, about; larger buckets are dealt out in pairs of parts.
 PART = 512
@@ -339,25 +340,14 @@ def similar_links(reps: DataFrame, similarity: float, part: int = 2048, seed: in
 
 
 def simhash_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its group's least, with all their columns; groups are of k-word shingle sets that are
-    linked by estimated similarities of ``similarity`` or more.
+    """The rows of ``docs`` whose id is its group's least, with all their columns; groups are of distinct k-word shingle sets that
+    are linked by Jaccard similarities of ``similarity`` or more.
 
-    Fingerprints of 256 bits tell the similarity from the differing bits to a few hundredths. Rows with a null id are kept and link
+    No fingerprints here: :func:`jaccard_components` finds every such pair and verifies each. Rows with a null id are kept and link
     nothing; rows of one id are one document; null and wordless texts are equal.
     """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                some = b.slice(lo, 500)
-                fps = _fingerprints(some.column(1).to_pylist(), k, WIDTH)
-                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in fps], pa.binary())], ["doc_id", "fp"])
-
-    fps, _ = materialize(only(docs, id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(made, "doc_id long, fp binary"), "fps")
-    reps, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    found = components(similar_links(reps, similarity))
-    named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    drop = fps.join(named, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    groups = jaccard_components(docs, k, similarity, id_col, text_col)
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(drop, docs[id_col] == F.col("_dropped"), "left_anti")
 
 
