@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from maskwright.llm import jaccard
+from maskwright.llm import jaccard, simhash
 
 
 def sets_of(rows, k=5):
@@ -61,3 +61,19 @@ def test_pairs_about_the_threshold(spark, monkeypatch, common):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     want = brute(rows)
     assert got == want and 40 < len(set(want.values())) < len(rows) - 60
+
+
+def test_short_texts_and_repeated_lines_are_not_linked(spark):
+    """Texts near in bits but below the similarity stay; sets that are equal but for counts go."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for m in (8, 9, 10):
+        for _ in range(20):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 30, m)]
+            rows += [(n := n + 1, " ".join(words)), (n := n + 1, " ".join([*words[:-1], "other"]))]
+    line = " ".join(f"line{x}" for x in range(9)) + " "
+    rows += [(n := n + 1, line * 50 + " ".join(f"own{i}x{x}" for x in range(40))) for i in range(2)]
+    rows += [(n := n + 1, "one two three " * 5), (n := n + 1, "one two three " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.simhash_dedup(df).collect()}
+    assert kept == set(range(1, n))
