@@ -3,6 +3,8 @@ import pytest
 
 from maskwright.llm import jaccard, simhash
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def sets_of(rows, k=5):
     out = {}
@@ -39,6 +41,12 @@ def brute(rows, similarity=0.8):
     return {i: ids[root(n)] for n, i in enumerate(ids)}
 
 
+def test_components_are_those_of_true_jaccard(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("common", [2, 10**9])
 def test_pairs_about_the_threshold(spark, monkeypatch, common):
     """Edited copies on both sides of 0.8, some far in bits, chains, a large group and a line that all share."""
