@@ -128,6 +128,20 @@ def _(spark, sf_dir):
     return out.select("id", (F.substring("siret", 1, 9) == F.col("siren")).alias("siret_linked"), (F.substring("vat", 5, 9) == F.col("siren")).alias("vat_linked"), ok("is_siren", "siren").alias("siren_ok"), ok("is_siret", "siret").alias("siret_ok"), ok("is_vat", "vat").alias("vat_ok"))
 
 
+_DIGITS = {c: f"regexp_replace({c}, '[^0-9]', '', 'g')" for c in ("siren", "siret", "vat")}
+
+
+@query("siren_siret_vat_linked_all", f"select id, coalesce(length(a) = 9 and length(b) = 14 and substr(b, 1, 9) = a, false) as siret_linked, coalesce(length(a) = 9 and length(c) = 11 and substr(c, 3, 9) = a, false) as vat_linked from (select id, {_DIGITS['siren']} as a, {_DIGITS['siret']} as b, {_DIGITS['vat']} as c from ({DUCK_PEOPLE}))")
+def _(spark, sf_dir):
+    """Every person: fakes are linked just where the originals are, whatever the separators; null, empty or malformed values link nothing."""
+    df = people(spark, sf_dir).select("id", "siren", "siret", "vat")
+    config = cfg.parse("tables: {t: {siren: siren, siret: siret, vat: vat}}")
+    out = transform(df, plan_table("t", column_infos(df), config), KEY)
+    a, b, c = (F.regexp_replace(x, "[^0-9]", "") for x in ("siren", "siret", "vat"))
+    linked = lambda x, at, n: F.coalesce((F.length(a) == 9) & (F.length(x) == n) & (F.substring(x, at, 9) == a), F.lit(False))
+    return out.select("id", linked(b, 1, 14).alias("siret_linked"), linked(c, 3, 11).alias("vat_linked"))
+
+
 @query("fk_consistency", "select count(*) as pairs, count(distinct o_custkey) as customers from orders join customer on o_custkey = c_custkey")
 def _(spark, sf_dir):
     a = _one_rule(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")), "k", "hash")
