@@ -103,15 +103,20 @@ def phone(d, v, s, p):
     return f"case when substr({d.replaced(v, r'^\s+', '')}, 1, 1) = '+' then concat('+33 ', {prefix}, ' ', {spaced}) else concat('0', {prefix}, {rest}) end"
 
 
-def date_shift(d, v, s, p):
-    days = max(0, _whole(p.get("days"), 365))
+def _date(d: Spark, v: str) -> str:
+    """The date that a text begins with, up to the first space; null if there is none. Days beyond a month's end roll over."""
     date = f"split_part({v}, ' ', 1)"
     y, m, day = (d.integer(f"split_part({date}, '-', {i})") for i in (1, 2, 3))
     ok = f"{d.matches(date, '^[0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2}$')} and coalesce({y} between 1 and 9998 and {m} between 1 and 12 and {day} between 1 and 31, false)"
     # read only where ok: both engines may look at the branch all the same
-    safe = d.day(f"cast(case when {ok} then {y} else 2000 end as int)", f"cast(case when {ok} then {m} else 1 end as int)", f"cast(case when {ok} then {day} else 1 end as int)")
-    moved = d.moved(safe, f"({draw(d, s['main'], 0, 2 * days + 1)} - {days})")
-    return f"case when {ok} then concat({moved}, substr({v}, length({date}) + 1)) else {v} end"
+    odd = f"case when {ok} then {d.day(f"cast(case when {ok} then {y} else 2000 end as int)", f"cast(case when {ok} then {m} else 1 end as int)", f"cast(case when {ok} then {day} else 1 end as int)")} end"
+    return d.dated(date, odd)
+
+
+def date_shift(d, v, s, p):
+    days = max(0, _whole(p.get("days"), 365))
+    moved = d.moved(s["date"], f"({draw(d, s['main'], 0, 2 * days + 1)} - {days})")
+    return f"case when {s['date']} is null then {v} else concat({moved}, substr({v}, length(split_part({v}, ' ', 1)) + 1)) end"
 
 
 def _mod_step(d: Spark, acc: str, ch: str) -> str:
@@ -209,6 +214,7 @@ class Preset:
     build: Callable[[Spark, str, Seeds, dict], str]
     main: Callable[[Spark, str], str] = _text
     linked: Callable[[Spark, str], str] | None = None
+    date: Callable[[Spark, str], str] | None = None
     sample: str = "example"
     params: tuple[str, ...] = field(default=())
 
@@ -217,6 +223,8 @@ class Preset:
         out = {"main": d.seed(key, self.name + again, self.main(d, v))}
         if self.linked:
             out["linked"] = d.seed(key, "siren" + again, self.linked(d, v))
+        if self.date:  # not a seed, but like one: computed once, before the value
+            out["date"] = self.date(d, v)
         return out
 
 
@@ -235,7 +243,7 @@ for _p in (
     Preset("last_name", last_name),
     Preset("full_name", full_name),
     Preset("phone", phone, sample="0612345678"),
-    Preset("date_shift", date_shift, sample="2000-01-01", params=("days",)),
+    Preset("date_shift", date_shift, date=_date, sample="2000-01-01", params=("days",)),
     Preset("iban", iban, sample="FR7630006000011234567890189"),
     Preset("bic", bic, sample="AGRIFRPPXXX"),
     Preset("address_line", address_line),

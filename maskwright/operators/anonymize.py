@@ -130,6 +130,8 @@ def transform(df: DataFrame, plan: TablePlan, key: bytes, counters: str | None =
             else:
                 preset, text = PRESETS[rule.value], seed_input(df, c)
                 seeds = preset.seeds(SPARK, text, key)
+                if "date" in seeds and _dated(df.schema[c].dataType):  # a date already
+                    seeds["date"] = f"case when year(`{c}`) between 1 and 9998 then cast(`{c}` as date) end"
                 first += [F.expr(sql).alias(f"{tag}{n}{label}") for label, sql in seeds.items()]
                 value = F.expr(preset.build(SPARK, text, {label: f"{tag}{n}{label}" for label in seeds}, dict(rule.params)))
                 made = value if _textual(df.schema[c].dataType) else value.try_cast(df.schema[c].dataType)

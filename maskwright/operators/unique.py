@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.presets import PRESETS
 from maskwright.functions.seed import Spark
 from maskwright.plans.config import Rule
-from maskwright.plans.shared import written
+from maskwright.plans.shared import dropped, written_at
 
 SPARK = Spark()
 #: Rounds after which a pool of values counts as exhausted.
@@ -37,18 +37,20 @@ def unique_mapping(values: DataFrame, rule: Rule, key: bytes, max_len: int | Non
     are compared by an aggregate and not gathered.
     """
     spark = values.sparkSession
-    left = written(values.where("input is not null and input <> ''").distinct(), "unique")
-    taken: DataFrame | None = None
+    left, at = written_at(values.where("input is not null and input <> ''").distinct(), "unique")
+    schema, paths = "input string, output string, attempt int", []  # of what each round gave away
     for attempt in range(attempts + 1):
+        taken = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
         if left.isEmpty():
-            return taken if taken is not None else spark.createDataFrame([], "input string, output string, attempt int")
+            dropped(spark, at)
+            return taken
         made = candidates(left, rule, key, attempt, max_len).withColumn("turn", F.expr(SPARK.seed(key, "turn", "input")))
-        if taken is not None:
-            made = made.join(taken.select(F.col("output").alias("gone")), F.col("output") == F.col("gone"), "left")
-        else:
-            made = made.withColumn("gone", F.lit(None).cast("string"))
-        won = made.where("gone is null").groupBy("output").agg(F.min_by("input", "turn").alias("input")).select("input", "output", F.lit(attempt).alias("attempt"))
-        taken = written(won if taken is None else taken.unionByName(won), "unique")
-        left = written(left.join(taken.select("input"), "input", "left_anti"), "unique")
+        free = made.join(taken.select("output"), "output", "left_anti") if paths else made
+        won, path = written_at(free.groupBy("output").agg(F.min_by("input", "turn").alias("input")).select("input", "output", F.lit(attempt).alias("attempt")), "unique")
+        paths.append(path)
+        # who won now is all that leaves
+        rest, new = written_at(left.join(won.select("input"), "input", "left_anti"), "unique")
+        dropped(spark, at)
+        left, at = rest, new
+    dropped(spark, at, *paths)
     raise PoolExhausted(f"{rule.value} has too few values for a unique column")
-

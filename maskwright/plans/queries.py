@@ -116,30 +116,32 @@ def _(spark, sf_dir):
     return out.agg(F.count_if(F.col("email").isNull()).alias("nulls"), F.count_if(F.col("email") == "").alias("empties"), F.count("*").alias("n"))
 
 
-_CLEAN = "where id % 4 <> 0 and id % 19 <> 0 and id % 23 <> 0 and id % 29 <> 0 and id % 11 <> 0 and id % 13 <> 0"
+_DIGITS = {c: f"regexp_replace({c}, '[^0-9]', '', 'g')" for c in ("siren", "siret", "vat")}
+_LINKED_SQL = f"""select id, coalesce(length(a) = 9 and length(b) = 14 and substr(b, 1, 9) = a, false) as siret_linked, coalesce(length(a) = 9 and length(c) = 11 and substr(c, 3, 9) = a, false) as vat_linked,
+    coalesce(siren <> '', false) as siren_ok, coalesce(siret <> '', false) as siret_ok, coalesce(vat like 'FR%' and length(c) = 11, false) as vat_ok
+    from (select id, siren, siret, vat, {_DIGITS['siren']} as a, {_DIGITS['siret']} as b, {_DIGITS['vat']} as c from ({DUCK_PEOPLE}))"""
 
 
-@query("siren_siret_vat_linked", f"select id, true as siret_linked, true as vat_linked, true as siren_ok, true as siret_ok, true as vat_ok from ({DUCK_PEOPLE}) {_CLEAN}")
-def _(spark, sf_dir):
-    df = people(spark, sf_dir).where(_CLEAN[6:]).select("id", "siren", "siret", "vat")
+@query("siren_siret_vat_linked", _LINKED_SQL)
+def _linked(spark, sf_dir):
+    """Every person: fakes are linked just where the originals are, whatever the separators; null, empty or malformed values link
+    nothing. The checksum of a fake is right wherever there was any text; French VAT numbers must be whole."""
+    df = people(spark, sf_dir).select("id", "siren", "siret", "vat")
     config = cfg.parse("tables: {t: {siren: siren, siret: siret, vat: vat}}")
     out = transform(df, plan_table("t", column_infos(df), config), KEY)
-    ok = lambda name, c: F.expr(DETECTORS[name](SPARK, c))
-    return out.select("id", (F.substring("siret", 1, 9) == F.col("siren")).alias("siret_linked"), (F.substring("vat", 5, 9) == F.col("siren")).alias("vat_linked"), ok("is_siren", "siren").alias("siren_ok"), ok("is_siret", "siret").alias("siret_ok"), ok("is_vat", "vat").alias("vat_ok"))
+    out = out.select("id", *[F.regexp_replace(x, "[^0-9]", "").alias(f"d_{x}") for x in ("siren", "siret", "vat")], "vat")
+    linked = lambda x, at, n: F.coalesce((F.length("d_siren") == 9) & (F.length(x) == n) & (F.substring(x, at, 9) == F.col("d_siren")), F.lit(False))
+    ok = lambda name, c: F.coalesce(F.expr(DETECTORS[name](SPARK, c)), F.lit(False))
+    return out.select(
+        "id", linked("d_siret", 1, 14).alias("siret_linked"), linked("d_vat", 3, 11).alias("vat_linked"),
+        ok("is_siren", "d_siren").alias("siren_ok"), ok("is_siret", "d_siret").alias("siret_ok"), ok("is_vat", "vat").alias("vat_ok"),
+    )
 
 
-_DIGITS = {c: f"regexp_replace({c}, '[^0-9]', '', 'g')" for c in ("siren", "siret", "vat")}
-
-
-@query("siren_siret_vat_linked_all", f"select id, coalesce(length(a) = 9 and length(b) = 14 and substr(b, 1, 9) = a, false) as siret_linked, coalesce(length(a) = 9 and length(c) = 11 and substr(c, 3, 9) = a, false) as vat_linked from (select id, {_DIGITS['siren']} as a, {_DIGITS['siret']} as b, {_DIGITS['vat']} as c from ({DUCK_PEOPLE}))")
+@query("siren_siret_vat_linked_all", f"select id, siret_linked, vat_linked from ({_LINKED_SQL})")
 def _(spark, sf_dir):
-    """Every person: fakes are linked just where the originals are, whatever the separators; null, empty or malformed values link nothing."""
-    df = people(spark, sf_dir).select("id", "siren", "siret", "vat")
-    config = cfg.parse("tables: {t: {siren: siren, siret: siret, vat: vat}}")
-    out = transform(df, plan_table("t", column_infos(df), config), KEY)
-    a, b, c = (F.regexp_replace(x, "[^0-9]", "") for x in ("siren", "siret", "vat"))
-    linked = lambda x, at, n: F.coalesce((F.length(a) == 9) & (F.length(x) == n) & (F.substring(x, at, 9) == a), F.lit(False))
-    return out.select("id", linked(b, 1, 14).alias("siret_linked"), linked(c, 3, 11).alias("vat_linked"))
+    """The links alone."""
+    return _linked(spark, sf_dir).select("id", "siret_linked", "vat_linked")
 
 
 @query("fk_consistency", "select count(*) as pairs, count(distinct o_custkey) as customers from orders join customer on o_custkey = c_custkey")
@@ -409,7 +411,7 @@ _flag = {c: p for p, c in PRESET_COLUMN.items() if p not in ("hash", "full_name"
 _seeds = {f"{c}_{label}": sql for c, p in _flag.items() for label, sql in PRESETS[p].seeds(DUCK, c, KEY).items()}
 SQL["anonymize_people"] = (
     f"with src as ({DUCK_PEOPLE}), s as (select *, {', '.join(f'{sql} as s_{n}' for n, sql in _seeds.items())} from src) select id, "
-    + ", ".join(f"case when {c} is null or {c} = '' then {c} else {PRESETS[p].build(DUCK, c, {label: f's_{c}_{label}' for label in ('main', 'linked')}, {})} end as {c}" for c, p in _flag.items())
+    + ", ".join(f"case when {c} is null or {c} = '' then {c} else {PRESETS[p].build(DUCK, c, {label: f's_{c}_{label}' for label in ('main', 'linked', 'date')}, {})} end as {c}" for c, p in _flag.items())
     + " from s"
 )
 QUERIES["anonymize_people"] = flagship
