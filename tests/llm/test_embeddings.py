@@ -47,6 +47,22 @@ def test_planned_recall(spark):
     assert 0.97 * want <= got <= want
 
 
+def test_recall_at_scale(spark):
+    """12,000 vectors in two labels, many pairs just above the threshold, against all cosines."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3000, 64)).astype(np.float32)
+    x = (base[np.arange(12000) % 3000] + rng.normal(size=(12000, 64)) * 0.24).astype(np.float32)
+    label = (np.arange(12000) % 3000) % 2
+    df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = 0
+    for n in (0, 1):
+        u = unit[label == n]
+        want += int((u @ u.T >= 0.93).sum()) - len(u)
+    got = sum(r.n_links for r in embeddings.near_vectors(df, 0.93).collect())
+    assert want > 10_000 and 0.98 * want <= got <= want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(df).count() == 0
