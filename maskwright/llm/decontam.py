@@ -1,195 +1,110 @@
-"""Benchmark decontamination by a positional inverted index over shards of documents."""
+"""Benchmark decontamination by a stored positional inverted index of the documents."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import WORD_BYTES, only
+from maskwright.llm.common import WORD_BYTES, drop_table, materialize, only
 
-#: Bytes of benchmark text that go to the executors at once; a larger benchmark is searched for in blocks.
-BLOCK_BYTES = 16_000_000
-#: Words of a shard, about. A shard is indexed as a whole.
+#: Words of a shard of documents, about; a longer document is one by itself.
 SHARD_WORDS = 1_000_000
+#: Windows that a task looks for in a shard at once.
+WINDOWS = 200_000
+#: Words on either side of a window's rarest one within which a proximity match has all its words.
+REACH = 15
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-class Queries:
-    """Distinct windows of the items as rows of term numbers (-1 beyond the end), and which items hold each."""
-
-    def __init__(self, items: list[tuple[int, str | None]], size: int):
-        self.terms: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        self.names = sorted({i for i, _ in items if i is not None}, key=str)
-        number = {x: n for n, x in enumerate(self.names)}
-        for item, text in items:
-            t = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            if item is not None:
-                for lo in range(max(1, len(t) - size + 1) if t else 0):
-                    windows.setdefault(tuple(t[lo : lo + size]), set()).add(number[item])
-        self.rows = np.full((len(windows), size), -1, np.int64)
-        for n, w in enumerate(windows):
-            self.rows[n, : len(w)] = w
-        self.length = (self.rows >= 0).sum(1)
-        self.count = np.fromiter((len(x) for x in windows.values()), np.int64, len(windows))
-        self.first = np.cumsum(self.count) - self.count
-        self.items = np.fromiter((i for x in windows.values() for i in sorted(x)), np.int64, int(self.count.sum()))
+class _Terms(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-class Index:
-    """Positions of each query term in a shard, which is one run of words with a gap after each document."""
-
-    def __init__(self, shard: np.ndarray, terms: int):
-        at = np.flatnonzero(shard >= 0)
-        order = np.argsort(shard[at], kind="stable")
-        self.shard, self.at = shard, at[order]
-        self.count = np.bincount(shard[at], minlength=terms)
-        self.first = np.cumsum(self.count) - self.count
-
-    def phrases(self, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, start) where a window's words stand in a row.
-
-        The list of a window's rarest term, moved by the term's place, gives the starts; the lists of the others, from the
-        rarest on, are intersected with it, by a look at the word that stands there.
-        """
-        if not len(q.rows):
-            return np.empty(0, int), np.empty(0, int)
-        often = np.where(q.rows >= 0, self.count[q.rows], np.iinfo(np.int64).max)
-        order = np.argsort(often, axis=1, kind="stable")
-        rare = np.take_along_axis(often, order[:, :1], 1)[:, 0]
-        live = np.flatnonzero(rare > 0)
-        window = np.repeat(live, rare[live])
-        nth = np.arange(len(window)) - np.repeat(np.cumsum(rare[live]) - rare[live], rare[live])
-        place = order[window, 0]
-        start = self.at[self.first[q.rows[window, place]] + nth] - place
-        ok = (start >= 0) & (start + q.length[window] <= len(self.shard))
-        window, start = window[ok], start[ok]
-        for j in range(1, q.rows.shape[1]):
-            place = order[window, j]
-            term = q.rows[window, place]
-            ok = term < 0
-            ok |= self.shard[np.where(ok, 0, start + place)] == term
-            window, start = window[ok], start[ok]
-        return window, start
-
-
-    def near(self, q: Queries, reach: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, place of its rarest term) where each other term of the window is at most ``reach`` words away, on either side
-        and in any order, in the same document. ``ends`` are the places of the gaps after the documents.
-        """
-        if not len(q.rows):
-            return np.empty(0, int), np.empty(0, int)
-        often = np.where(q.rows >= 0, self.count[q.rows], np.iinfo(np.int64).max)
-        order = np.argsort(often, axis=1, kind="stable")
-        rare = np.take_along_axis(often, order[:, :1], 1)[:, 0]
-        live = np.flatnonzero(rare > 0)
-        window = np.repeat(live, rare[live])
-        nth = np.arange(len(window)) - np.repeat(np.cumsum(rare[live]) - rare[live], rare[live])
-        at = self.at[self.first[q.rows[window, order[window, 0]]] + nth]
-        size = len(self.shard) + 1
-        keys = self.shard[self.at] * size + self.at  # in order: by term, then place
-        for j in range(1, q.rows.shape[1]):
-            term = q.rows[window, order[window, j]]
-            doc = np.searchsorted(ends, at, "right")
-            begin = np.where(doc > 0, ends[np.maximum(doc - 1, 0)] + 1, 0)
-            low, high = np.maximum(at - reach, begin), np.minimum(at + reach, ends[doc])
-            found = np.searchsorted(keys, term * size + low)
-            ok = (term < 0) | (np.append(keys, np.iinfo(np.int64).max)[found] <= term * size + high)
-            window, at = window[ok], at[ok]
-        return window, at
+_POSTING = "shard long, term binary, h long, n int, places binary, docs array<struct<id:long,words:int,key1:long,key2:long>>"
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _hits(ids: list, texts: list[str | None], blocks: Iterator[Queries]) -> pa.RecordBatch:
-    """The row of each document of a shard: words, hit words and items, over all blocks of queries."""
-    words = [words_of(t) for t in texts]
+
+def _posted(shard: int, ids: list, texts: list[str | None], seed: int) -> pa.RecordBatch:
+    """The index of a shard, which is one run of words with a gap after each document: a row for each term with its places, as
+    steps from one to the next, and a row without a term for the documents, whose places are the gaps' after each."""
+    words, terms = [words_of(t) for t in texts], _Terms()
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1)
-    total = int(ends[-1]) if len(ends) else 0
-    mark = np.zeros(total + 1, np.int64)
-    found: list[list[int]] = [[] for _ in ids]
-    for q in blocks:
-        get = q.terms.get
-        shard = np.full(total, -1, np.int64)
-        for w, lo in zip(words, (ends - sizes - 1).tolist(), strict=True):
-            shard[lo : lo + len(w)] = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-        window, start = Index(shard, len(q.terms)).phrases(q)
-        mark += np.bincount(start, minlength=total + 1) - np.bincount(start + q.length[window], minlength=total + 1)
-        each = q.count[window]
-        nth = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        item = q.items[np.repeat(q.first[window], each) + nth]
-        doc = np.repeat(np.searchsorted(ends, start, "right"), each)
-        for x in np.unique(doc * max(1, len(q.names)) + item).tolist():
-            found[x // len(q.names)].append(q.names[x % len(q.names)])
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(mark)[:-1] > 0)))
-    n_hit = hit[ends] - hit[ends - sizes - 1] if len(ends) else ends
-    items = [sorted(set(x), key=str) for x in found]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
-    """The items in blocks of about BLOCK_BYTES, one at a time."""
-    block, held = [], 0
-    for r in only(benchmark, id_col, text_col).toLocalIterator():
-        block.append((r[0], r[1]))
-        held += len(r[1] or "") + 16
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    yield block
-
-
-def _each(shared: list, size: int):
-    """Gives the queries of the blocks, again and again; a worker keeps those of a single block, and else one at a time."""
-    kept = [Queries(shared[0].value, size)] if len(shared) == 1 else []
-
-    def queries() -> Iterator[Queries]:
-        yield from kept
-        for b in shared if not kept else []:
-            yield Queries(b.value, size)
-            del b._value  # else the worker keeps every block
-
-    return queries
+    run = np.fromiter((terms[w] for some in words for w in some), np.int64, int(sizes.sum()))
+    at = np.arange(len(run)) + np.repeat(np.arange(len(words)), sizes)
+    order = np.argsort(run, kind="stable")
+    count = np.bincount(run, minlength=len(terms))
+    first = np.cumsum(count) - count
+    at = at[order]
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    # the documents come last
+    steps = np.concatenate((steps, sizes + 1)).astype("<i4")
+    offsets = np.concatenate((first, [len(at), len(steps)])).astype(np.int32) * 4
+    places = pa.Array.from_buffers(pa.binary(), len(terms) + 1, [None, pa.py_buffer(offsets), pa.py_buffer(steps)])
+    h = [_signed(xxhash.xxh64_intdigest(t, 42)) for t in terms]
+    key = lambda s: [_signed(xxhash.xxh64_intdigest(r, s)) for r in raw]
+    docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(key(42), pa.int64()), pa.array(key(seed), pa.int64())], ["id", "words", "key1", "key2"])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(terms) + 1, shard)), pa.array([*terms, None], pa.binary()), pa.array([*h, None], pa.int64()), pa.array([*count.tolist(), len(ids)], pa.int32()), places,
+            pa.ListArray.from_arrays(pa.array([0] * (len(terms) + 1) + [len(ids)], pa.int32()), docs),
+        ], ["shard", "term", "h", "n", "places", "docs"],
+    )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit (see :func:`decontaminate`), with all their columns and no shuffle."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
+@dataclass
+class Index:
+    """The stored postings of some documents. ``table`` has a row for each shard and term, and one for each shard's documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = _each(shared, size)
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                hits = _hits(list(range(part.num_rows)), part.column(text_col).to_pylist(), queries()).column(2).to_numpy()
-                yield part.filter(pa.array(hits == 0))
+    table: DataFrame
+    path: str
+    seed: int
 
-    return docs.mapInArrow(run, docs.schema)
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.where("term is not null")
 
+    @property
+    def shards(self) -> DataFrame:
+        return self.table.where("term is null")
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_hit, items array<long>`` for each row of ``docs``: exact occurrences of the items' windows.
+    def documents(self) -> DataFrame:
+        """``shard, doc, doc_id, n_words, key1, key2`` for each document; the keys are two hashes of its text."""
+        one = self.shards.select("shard", F.posexplode("docs").alias("doc", "d"))
+        return one.select("shard", "doc", F.col("d.id").alias("doc_id"), F.col("d.words").cast("long").alias("n_words"), F.col("d.key1").alias("key1"), F.col("d.key2").alias("key2"))
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window is ``size`` consecutive words of an
-    item, or a shorter item whole. n_hit counts document words inside any occurrence; items lists the items with one, sorted as
-    strings. Null or wordless texts hit nothing; items with a null id are ignored; each repeated row gets a row; an empty
-    benchmark hits nothing; other columns are not read.
+    def drop(self) -> None:
+        drop_table(self.table.sparkSession, self.path)
 
-    Documents are not shuffled: each shard of them is indexed by position for the terms of the items, and the items go to the
-    executors in blocks of BLOCK_BYTES, of which a task holds one at a time.
-    """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
+
+def _second_seed(spark: SparkSession) -> int:
+    return spark.range(1).select(F.xxhash64(F.lit(7))).first()[0] & (1 << 64) - 1
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Writes the postings of all terms of ``docs`` to the shared folder, without a shuffle: each task has shards of about
+    SHARD_WORDS words. A frequent term has a row for each shard, so no list is longer than a shard."""
+    spark = docs.sparkSession
+    seed = _second_seed(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = _each(shared, size)
+        shard = TaskContext.get().partitionId() << 32
         ids: list = []
         texts: list = []
         held = 0
@@ -199,47 +114,232 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
                 texts.append(t)
                 held += len(t or "") // 6 + 1
                 if held >= SHARD_WORDS:
-                    yield _hits(ids, texts, queries())
-                    ids, texts, held = [], [], 0
+                    yield _posted(shard, ids, texts, seed)
+                    ids, texts, held, shard = [], [], 0, shard + 1
         if ids:
-            yield _hits(ids, texts, queries())
+            yield _posted(shard, ids, texts, seed)
 
-    plain = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
+    plain = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return Index(*materialize(plain.mapInArrow(run, _POSTING), "postings", "zstd"), seed)
 
 
-def near_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, reach: int = 15, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, word``: where all words of a window of an item stand within ``reach`` words of its rarest one.
+def windows(benchmark: DataFrame, size: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``window binary, terms array<binary>, item`` for each item and window of it: ``size`` words in a row, or a shorter item whole.
 
-    The rarest word is that of the shard, the first of equals; a place is given once for each item. Nulls, empty tables and clashing
-    names as in :func:`decontaminate`.
+    The window is named by a hash of its words. Items without words have none.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
+    plain = only(benchmark, item_col, text_col).select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = _each(shared, size)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                words = [words_of(t) for t in part.column(1).to_pylist()]
-                ids = part.column(0).to_pylist()
-                ends = np.cumsum([len(w) + 1 for w in words]) - 1
-                rows: set[tuple[int, int, int]] = set()
-                for q in queries():
-                    shard = np.array([x for w in words for x in (*(q.terms.get(t, -1) for t in w), -1)], np.int64)
-                    for w, at in zip(*(x.tolist() for x in Index(shard, len(q.terms)).near(q, reach, ends)), strict=True):
-                        d = int(np.searchsorted(ends, at, "right"))
-                        rows |= {(d, q.names[i], at - (int(ends[d - 1]) + 1 if d else 0)) for i in q.items[q.first[w] : q.first[w] + q.count[w]].tolist()}
-                got = sorted(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _, _ in got], pa.int64()), pa.array([i for _, i, _ in got], pa.int64()), pa.array([w for _, _, w in got], pa.int64())], ["doc_id", "item_id", "word"])
-
-    plain = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, item_id long, word long")
+            for n, t in enumerate(b.column(1).to_pylist()):
+                w = words_of(t)
+                each = [w[lo : lo + size] for lo in range(max(1, len(w) - size + 1))] if w else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh3_128_digest(b" ".join(x)) for x in each], pa.binary()), pa.array(each, pa.list_(pa.binary())), b.column(0).take(pa.array([n] * len(each), pa.int64()))],
+                    ["window", "terms", "item"],
+                )
+
+    return plain.mapInArrow(run, f"window binary, terms array<binary>, item {dict(plain.dtypes)['item']}")
+
+
+def _within(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are among ``keys``, which are in order."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool)
+    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+
+def intersect(h: np.ndarray, steps: list[np.ndarray], ends: np.ndarray, terms: np.ndarray, offset: np.ndarray, reach: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start) of all exact matches and (window, place) of all proximity matches in a shard.
+
+    ``h`` names the shard's terms and ``steps`` has their places. Rows of ``terms`` are the windows' terms from the rarest on, and
+    ``offset`` their places in the window, -1 beyond its end. The list of the rarest, moved by its offset, gives the candidates; the
+    moved lists of the others are intersected with it in turn. For proximity a list has to have a place within ``reach`` of the
+    rarest's, in the same document.
+    """
+    none = np.empty(0, np.int64)
+    order = np.argsort(h)
+    h = h[order]
+    count = np.array([len(steps[i]) for i in order.tolist()], np.int64)
+    first = np.cumsum(count) - count
+    flat = np.concatenate([steps[i] for i in order.tolist()]).astype(np.int64) if len(order) else none
+    total = np.cumsum(flat)
+    at = total - np.repeat(total[first] - flat[first], count)
+    size = int(ends[-1]) + 1 if len(ends) else 1
+    keys = np.repeat(np.arange(len(h)), count) * size + at
+    number = np.minimum(np.searchsorted(h, terms), max(0, len(h) - 1))
+    here = (offset < 0) | (h[number] == terms) if len(h) else offset < 0
+    live = np.flatnonzero(here.all(1))
+    if not len(live):
+        return none, none, none, none
+    number, offset = number[live], offset[live]
+    rare = count[number[:, 0]]
+    window = np.repeat(np.arange(len(live)), rare)
+    nth = np.arange(len(window)) - np.repeat(np.cumsum(rare) - rare, rare)
+    place = at[first[number[window, 0]] + nth]
+    exact, start = window, place - offset[window, 0]
+    for j in range(1, number.shape[1]):
+        off, want = offset[exact, j], start + offset[exact, j]
+        ok = (off < 0) | (want >= 0) & (want < size) & _within(keys, number[exact, j] * size + want)
+        exact, start = exact[ok], start[ok]
+    ok = start >= 0
+    exact, start = exact[ok], start[ok]
+    if reach is None:
+        return live[exact], start, none, none
+    for j in range(1, number.shape[1]):
+        doc = np.searchsorted(ends, place, "right")
+        begin = np.where(doc > 0, ends[np.maximum(doc - 1, 0)], 0)
+        low, high = np.maximum(place - reach, begin), np.minimum(place + reach, ends[doc] - 1)
+        term = number[window, j] * size
+        found = np.searchsorted(keys, term + low)
+        ok = (offset[window, j] < 0) | (np.append(keys, np.iinfo(np.int64).max)[found] <= term + high)
+        window, place = window[ok], place[ok]
+    return live[exact], start, live[window], place
+
+
+def _ranked(found: DataFrame, index_: Index) -> DataFrame:
+    """``window, h array<long>, place array<int>`` of the windows of which the documents have all terms, from the rarest on.
+
+    Terms are counted over all documents; of equally rare ones the first in the window counts as the rarer.
+    """
+    distinct = found.groupBy("window").agg(F.first("terms").alias("terms"))
+    each = distinct.select("window", F.posexplode("terms").alias("place", "term"))
+    counts = index_.postings.select("term", "n").join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    all_ = each.join(counts, "term", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "place", F.xxhash64("term").alias("h")))).alias("t"))
+    return all_.where(~F.exists("t", lambda x: x["n"].isNull())).select("window", F.col("t.h").alias("h"), F.col("t.place").alias("place"))
+
+
+_MATCH = "shard long, doc int, start int, stop int, window binary, near boolean"
+
+
+def matches(index_: Index, found: DataFrame, reach: int | None = None) -> DataFrame:
+    """``shard, doc, start, stop, window, near`` for ``found(window, terms)``: what of the windows the documents hold.
+
+    Rows of three kinds: words from start to stop are hit (window is null); the document has the window (near is false), or its
+    words close by (near is true; start is the place of the rarest word). A window is looked for in the shards that have its rarest
+    term, whose posting lists for the windows' terms meet it there; neither documents nor windows go through the driver.
+    """
+    ranked = _ranked(found, index_)
+    blocks = max(1, -(-ranked.count() // WINDOWS))
+    ranked = ranked.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
+    todo = ranked.withColumn("rarest", F.col("h")[0]).join(index_.postings.select(F.col("h").alias("rarest"), "shard"), "rarest").select("shard", "block", "window", "h", "place")
+    used = ranked.select(F.explode("h").alias("h")).distinct()
+    lists = index_.postings.select("shard", "h", "places").join(used, "h", "left_semi").unionByName(index_.shards.select("shard", "h", "places"))
+    lists = lists.withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))) if blocks > 1 else F.lit(0))
+
+    def run(windows_: pa.Table, lists_: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int64()), ("doc", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("window", pa.binary()), ("near", pa.bool_())])
+        if not windows_.num_rows or not lists_.num_rows:
+            return schema.empty_table()
+        named = windows_.column("window").to_pylist()
+        sizes = windows_.column("h").combine_chunks().value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        terms, offset = np.zeros((len(sizes), int(sizes.max())), np.int64), np.full((len(sizes), int(sizes.max())), -1, np.int64)
+        terms[row, col] = windows_.column("h").combine_chunks().flatten().to_numpy()
+        offset[row, col] = windows_.column("place").combine_chunks().flatten().to_numpy()
+        h, steps, ends = [], [], np.empty(0, np.int64)
+        for x, raw in zip(lists_.column("h").to_pylist(), lists_.column("places").to_pylist(), strict=True):
+            if x is None:
+                ends = np.cumsum(np.frombuffer(raw, "<i4").astype(np.int64))
+            else:
+                h.append(x)
+                steps.append(np.frombuffer(raw, "<i4"))
+        exact, start, close, place = intersect(np.array(h, np.int64), steps, ends, terms, offset, reach)
+        total = int(ends[-1])
+        stop = start + (offset[exact] >= 0).sum(1)
+        hit = np.cumsum(np.bincount(start, minlength=total + 1) - np.bincount(stop, minlength=total + 1)) > 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+        low, high = edge[::2], edge[1::2]
+
+        def of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            doc = np.searchsorted(ends, at, "right")
+            return doc, at - np.where(doc > 0, ends[np.maximum(doc - 1, 0)], 0)
+
+        pairs = np.unique(np.stack([of(start)[0], exact]), axis=1)
+        (doc, begin), (near_doc, near_at) = of(low), of(place)
+        empty = lambda n, kind: pa.nulls(n, kind)
+        ints = lambda x: pa.array(np.asarray(x, np.int32))
+        parts = [
+            (doc, ints(begin), ints(begin + high - low), empty(len(doc), pa.binary()), False),
+            (pairs[0], empty(pairs.shape[1], pa.int32()), empty(pairs.shape[1], pa.int32()), pa.array([named[x] for x in pairs[1].tolist()], pa.binary()), False),
+            (near_doc, ints(near_at), empty(len(near_doc), pa.int32()), pa.array([named[x] for x in close.tolist()], pa.binary()), True),
+        ]
+        shard = lists_.column("shard")[0].as_py()
+        return pa.concat_tables([pa.Table.from_arrays([pa.array(np.full(len(d), shard)), ints(d), a, b, w, pa.array(np.full(len(d), near))], schema=schema) for d, a, b, w, near in parts])
+
+    return todo.groupBy("shard", "block").cogroup(lists.groupBy("shard", "block")).applyInArrow(run, _MATCH)
+
+
+def _hit(found: DataFrame) -> DataFrame:
+    """``shard, doc, n_hit``: words inside any of a document's hit runs; those of several blocks may overlap."""
+    runs = found.where("window is null").groupBy("shard", "doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    union = F.expr("aggregate(runs, named_struct('n', 0L, 'to', 0), (acc, r) -> named_struct('n', acc.n + greatest(0, r.stop - greatest(acc.to, r.start)), 'to', greatest(acc.to, r.stop)), acc -> acc.n)")
+    return runs.select("shard", "doc", union.alias("n_hit"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit (see :func:`decontaminate`), with all their columns.
+
+    Whether a row has one depends on its text alone, so rows are told by two 64-bit hashes of it.
+    """
+    spark = docs.sparkSession
+    built = index(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    found, at = materialize(matches(built, windows(benchmark, size, item_col, item_text_col)), "matches")
+    bad, _ = materialize(built.documents().join(found.where("window is null").select("shard", "doc").distinct(), ["shard", "doc"], "left_semi").select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2")).distinct(), "hit")
+    drop_table(spark, at)
+    built.drop()
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumn("_one", F.xxhash64(text)).withColumn("_two", F.xxhash64(F.lit(7), text))
+    return keyed.join(bad, (F.col("_one") == F.col("_key1")) & (F.col("_two") == F.col("_key2")), "left_anti").drop("_one", "_two")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", reach: int | None = None) -> DataFrame:
+    """``doc_id, n_words, n_hit, items, near`` for each row of ``docs``: exact and proximity occurrences of the items' windows.
+
+    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window is ``size`` consecutive words of an
+    item, or a shorter item whole. n_hit counts document words inside any exact occurrence; items lists the items with one, and near
+    those of which all words of a window stand within ``reach`` words of its rarest one (none without a reach), sorted as strings.
+    Null or wordless texts hit nothing; items with a null id count in n_hit but are not listed; each repeated row gets a row; an
+    empty benchmark hits nothing; other columns are not read.
+    """
+    spark = docs.sparkSession
+    built = index(docs, id_col, text_col)
+    given, given_at = materialize(windows(benchmark, size, item_col, item_text_col), "windows")
+    found, found_at = materialize(matches(built, given, reach), "matches")
+    of = given.where("item is not null").select("window", "item").distinct()
+    named = found.where("window is not null").select("shard", "doc", "window", "near").distinct().join(of, "window")
+    listed = lambda near: F.array_sort(F.collect_set(F.when(F.col("near") == near, F.struct(F.col("item").cast("string").alias("name"), "item"))))["item"]
+    items = named.groupBy("shard", "doc").agg(listed(False).alias("items"), listed(True).alias("near"))
+    out = built.documents().join(_hit(found), ["shard", "doc"], "left").join(items, ["shard", "doc"], "left")
+    none = F.array().cast(dict(items.dtypes)["items"])
+    out, _ = materialize(out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near")), "decontaminated")
+    for path in (given_at, found_at):
+        drop_table(spark, path)
+    built.drop()
+    return out
+
+
+def near_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, word``: where all words of a window of an item stand within ``reach`` words of its rarest one.
+
+    The rarest word is that of all documents, the first of equals; a place is given once for each item. Nulls, empty tables and
+    clashing names as in :func:`decontaminate`.
+    """
+    spark = docs.sparkSession
+    built = index(docs, id_col, text_col)
+    given, given_at = materialize(windows(benchmark, size, item_col, item_text_col), "windows")
+    close = matches(built, given, reach).where("near").select("shard", "doc", F.col("start").cast("long").alias("word"), "window")
+    items = given.where("item is not null").select("window", F.col("item").alias("item_id")).distinct()
+    out, _ = materialize(close.join(items, "window").select("shard", "doc", "item_id", "word").distinct().join(built.documents(), ["shard", "doc"]).select("doc_id", "item_id", "word"), "near")
+    drop_table(spark, given_at)
+    built.drop()
+    return out
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, doc_id, positions array<int>``: the index as a table, for use beyond one search.
+    """``term, doc_id, positions array<int>``: the index by document, as a table in plain columns.
 
     A list is of one document, so a frequent term has many rows and no long one.
     """
@@ -250,12 +350,12 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against all benchmark items, windows of 10 words."""
+    """All documents against all benchmark items, windows of 10 words, with proximity matches."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    found = decontaminate(read("documents"), read("benchmark"), 10)
+    found = decontaminate(read("documents"), read("benchmark"), 10, reach=REACH)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"),
     )
 
 
@@ -268,8 +368,17 @@ sizes as (select distinct n from windows),
 grams as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as gram from d, sizes where len(w) >= n),
 found as (select doc_id, item_id, n, i from grams join windows using (n, gram)),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id),
+post as (select doc_id, unnest(w) as term, unnest(range(0, len(w))) as p from d),
+named as (select item_id, gram, n, string_split(gram, ' ') as ts from windows),
+wt as (select distinct gram, unnest(ts) as term, unnest(range(0, len(ts))) as place from (select distinct gram, ts from named)),
+cnt as (select term, count(*) as c from post where term in (select term from wt) group by term),
+rare as (select gram, arg_min(term, c * 1000 + place) as term, count(distinct term) as k from wt left join cnt using (term) group by gram having count(*) = count(c)),
+cand as (select gram, k, post.doc_id, post.p from rare join post using (term)),
+close as (select c.gram, c.doc_id, c.p from cand c join (select distinct gram, term from wt) t using (gram) join post q on q.doc_id = c.doc_id and q.term = t.term and q.p between c.p - 15 and c.p + 15
+          group by c.gram, c.doc_id, c.p, c.k having count(distinct t.term) = c.k),
+near as (select doc_id, count(distinct item_id) as n_near from close join named using (gram) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as names from (select distinct doc_id, cast(item_id as varchar) as s from found) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join hit using (doc_id) left join items using (doc_id)"""
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, cast(coalesce(n_near, 0) as bigint) as n_near
+from d left join hit using (doc_id) left join items using (doc_id) left join near using (doc_id)"""
 }
