@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingle sets: complete candidates from rare shingles, every link verified."""
+"""Near-duplicates by the Jaccard similarity of word shingle sets: SimHash links first, then complete candidates from rare shingles.
+
+Every link is verified on the whole sets. SimHash finds almost all of the near pairs, and joins large groups by few links; what it
+can't tell from bits alone (pairs further apart, and pairs near in bits that are not similar) the complete search settles.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,15 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import drop_table, materialize, only
 from maskwright.llm.graph import components
+from maskwright.llm.simhash import _majority, simhash_links
 from maskwright.llm.substrings import _free
 
 #: Documents, about, from which the common shingles are learned, the least of them that hold one, and how many are kept.
 SAMPLE, COMMON, MOST_COMMON = 16_000, 4, 100_000
-#: With how many sets of each shingle the others are held in each round; the last one takes all, so that no pair is left out.
-PIVOTS = (4, 16, None)
+#: Differing bits within which fingerprints of sets are compared first.
+RADIUS = 4
+#: With how many sets of each shingle the others are held in each later round; the last one takes all, so that no pair is left out.
+PIVOTS = (8, None)
 #: Rows of texts or sets that Python holds at once.
 ROWS = 500
 
@@ -176,10 +183,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` for each row with an id: all that are linked by steps of at least the similarity; the least id names them.
 
-    Sets this similar share one at least of the first n - ceil(similarity n) + 1 of their n shingles in any common order; here the
-    common shingles come last, so that few sets meet. First each set is held against a few of each such shingle (PIVOTS), which joins
-    large groups in linearly many pairs; at last every pair that shares one and is not joined yet is held against each other. A link
-    is verified on the whole sets.
+    First the sets' SimHash fingerprints are compared by bit planes (:func:`simhash_links`), whose links join large groups by a
+    spanning forest. Then the search is made complete: sets this similar share one at least of the first n - ceil(similarity n) + 1
+    of their n shingles in any common order; here the common shingles come last, so that few sets meet. Each set is held against a
+    few of each such shingle (PIVOTS); at last every pair that shares one and is not joined yet is held against each other. A link
+    of either kind is verified on the whole sets.
     """
     spark = docs.sparkSession
     docs = only(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -191,18 +199,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 some = b.slice(lo, ROWS)
-                nodes, sizes, heads = [], [], []
+                nodes, sizes, heads, fps = [], [], [], []
                 for text in some.column(1).to_pylist():
                     tokens = shingles(text, k)
                     nodes.append(_node(tokens))
                     sizes.append(len(tokens))
+                    fps.append(_majority(tokens) if len(tokens) else np.uint64(0))
                     if len(tokens) and len(common):
                         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
                         tokens = tokens[np.argsort(np.where(common[at] == tokens, rank[at], 0), kind="stable")]
                     heads.append(tokens[: len(tokens) - int(needed(len(tokens), similarity)) + 1].tobytes() if len(tokens) else b"")
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "node", "n", "head"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "node", "n", "head", "fp"])
 
-    heads, heads_at = materialize(docs.mapInArrow(made, "doc_id long, node long, n long, head binary"), "heads")
+    heads, heads_at = materialize(docs.mapInArrow(made, "doc_id long, node long, n long, head binary, fp long"), "heads")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +223,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
                 node, n = (np.repeat(some.column(c).to_numpy(), sizes) for c in (0, 1))
                 yield _batch("token, node, n, pos", np.frombuffer(b"".join(parts), np.int64), node, n, pos)
 
-    reps, _ = materialize(heads.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    reps, _ = materialize(heads.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "reps")
     postings, postings_at = materialize(_shared(heads.select("node", "n", "head").mapInArrow(dealt, "token long, node long, n long, pos long"), similarity), "postings")
     _free(spark)
     heads = heads.select("doc_id", "node")
@@ -237,20 +246,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     sets, sets_at = materialize(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(whole, "node long, tokens binary"), "sets")
 
     _free(spark)
-    tried = links = None
+    # a pair that is similar shares a shingle, so both are among the sets
+    near = simhash_links(reps.join(postings.select("node").distinct(), "node", "left_semi").select("fp", F.col("node").alias("rep")), RADIUS)
+    pairs, pairs_at = materialize(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "pairs")
+    links, links_at = materialize(_verified(pairs, sets, similarity), "links")
+    tried, used = pairs, [pairs_at, links_at]
     for seed, pivots in enumerate(PIVOTS):
-        named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))) if links else None
-        component = F.coalesce("component", postings.node) if named else F.col("node")
-        labelled = (postings.join(named, postings.node == named.node, "left") if named else postings).select("token", postings.node, "n", "pos", component.alias("component"))
-        pairs = _across(labelled, similarity, pivots, seed).distinct()
-        pairs, _ = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-        found, _ = materialize(_verified(pairs, sets, similarity), "links")
+        named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        labelled = postings.join(named, postings.node == named.node, "left").select("token", postings.node, "n", "pos", F.coalesce("component", postings.node).alias("component"))
+        pairs, pairs_at = materialize(_across(labelled, similarity, pivots, seed).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found, found_at = materialize(_verified(pairs, sets, similarity), "links")
         _free(spark)
-        tried, links = (tried.unionByName(pairs), links.unionByName(found)) if tried else (pairs, found)
+        tried, links, used = tried.unionByName(pairs), links.unionByName(found), [*used, pairs_at, found_at]
     for path in (sets_at, postings_at):
         drop_table(spark, path)
     ids = reps.select("node", "rep")
     every = links.join(ids.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(ids.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b")
     found = components(every.select("u", "v"))
+    for path in used:
+        drop_table(spark, path)
     groups = reps.join(found, reps.rep == found.node, "left").select(reps.node, F.coalesce("component", "rep").alias("component_id"))
     return heads.join(groups, "node").select("doc_id", "component_id")

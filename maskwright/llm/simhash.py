@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import drop_table, materialize, only
 from maskwright.llm.graph import components
-from maskwright.llm.jaccard import jaccard_components
 
 #: Fingerprints that are compared with each other in one group at most, about; larger buckets are dealt out in pairs of parts.
 PART = 512
@@ -343,9 +342,12 @@ def simhash_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
     """The rows of ``docs`` whose id is its group's least, with all their columns; groups are of distinct k-word shingle sets that
     are linked by Jaccard similarities of ``similarity`` or more.
 
-    No fingerprints here: :func:`jaccard_components` finds every such pair and verifies each. Rows with a null id are kept and link
-    nothing; rows of one id are one document; null and wordless texts are equal.
+    Fingerprints find most of the links, a complete search the rest, and each is verified on the whole sets: see
+    :func:`~maskwright.llm.jaccard.jaccard_components`. Rows with a null id are kept and link nothing; rows of one id are one
+    document; null and wordless texts are equal.
     """
+    from maskwright.llm.jaccard import jaccard_components  # which builds on this module
+
     groups = jaccard_components(docs, k, similarity, id_col, text_col)
     drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(drop, docs[id_col] == F.col("_dropped"), "left_anti")
