@@ -14,8 +14,7 @@ from maskwright.llm.common import materialize, only
 class Rule:
     """``pattern`` matches leftmost and without overlaps; matches of which group ``group`` has under ``least`` letters are dropped.
 
-    Patterns have no look-around: the place of a match is found again by its text (see :func:`_spans`). ``needs`` is a literal
-    that each match holds, if there is one; a text without it is not searched.
+    ``needs`` is a literal that each match holds, if there is one; a text without it is not searched.
     """
 
     kind: str
@@ -42,7 +41,9 @@ RULES = (
     Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", needs="-----BEGIN "),
 )
 BASE = ("assign", "access", "hex")
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,version:int>>"
+#: Spans that are put together at a time: appending to a list copies it.
+CHUNK = 256
 
 
 def _quoted(s: str) -> str:
@@ -52,23 +53,20 @@ def _quoted(s: str) -> str:
 def _spans(text: str, rule: Rule, rank: int) -> str:
     """SQL for the spans of one rule in column ``text``, in code points from 0, end exclusive, in order.
 
-    A match is looked for by its text from the end of the match before it, dropped ones included. That finds the match itself: at
-    an earlier place with the same text the pattern would have matched there, or before.
+    A match's place is the length of all that is before it: the pieces between matches and the matches. It is summed up in chunks,
+    so that a long text full of matches takes no time beyond its length.
     """
     pattern = _quoted(rule.pattern)
-    at = f"locate(x, {text}, acc.at)"
-    keep = f"char_length(regexp_extract(x, {pattern}, {rule.group})) >= {rule.least}" if rule.least else "true"
-    span = f"named_struct('start', {at} - 1, 'rank', {rank}, 'end', {at} - 1 + char_length(x), 'kind', {_quoted(rule.kind)})"
-    found = f"""aggregate(regexp_extract_all({text}, {pattern}, 0), named_struct('at', 1, 'found', cast(array() as {SPAN})),
-        (acc, x) -> named_struct('at', {at} + char_length(x), 'found', if({keep}, concat(acc.found, array({span})), acc.found)), acc -> acc.found)"""
-    return f"if(contains({text}, {_quoted(rule.needs)}), {found}, cast(array() as {SPAN}))" if rule.needs else found
-
-
-def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, blob, text``: each row with the SHA-256 of its text (null: empty)."""
-    plain = only(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return plain.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+    keep = f"char_length(regexp_extract(x.m, {pattern}, {rule.group})) >= {rule.least}" if rule.least else "true"
+    start = "b.at + char_length(x.p)"
+    span = f"named_struct('start', {start}, 'rank', {rank}, 'end', {start} + char_length(x.m), 'kind', {_quoted(rule.kind)}, 'version', {rule.version})"
+    none = f"cast(array() as {SPAN})"
+    chunk = f"aggregate(chunk, named_struct('at', acc.at, 'found', {none}), (b, x) -> named_struct('at', {start} + char_length(x.m), 'found', if({keep}, concat(b.found, array({span})), b.found)))"
+    chunks = f"element_at(transform(array(split({text}, {pattern}, -1)), p -> transform(sequence(0, (size(m) - 1) div {CHUNK}), c -> zip_with(slice(p, c * {CHUNK} + 1, least({CHUNK}, size(m) - c * {CHUNK})), slice(m, c * {CHUNK} + 1, {CHUNK}), (p, m) -> named_struct('p', p, 'm', m)))), 1)"
+    step = f"element_at(transform(array({chunk}), y -> named_struct('at', y.at, 'found', concat(acc.found, array(y.found)))), 1)"
+    found = f"aggregate({chunks}, named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)), (acc, chunk) -> {step}, acc -> flatten(acc.found))"
+    some = f"contains({text}, {_quoted(rule.needs)})" if rule.needs else "true"
+    return f"if({some}, element_at(transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> if(size(m) = 0, {none}, {found})), 1), {none})"
 
 
 def scan(paths: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
@@ -92,22 +90,42 @@ def scan(paths: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``blob, spans``: what the ledger has of each blob by the given rule versions; a row of one scan may hold several."""
     keys = F.array(*[F.lit(r.key) for r in rules])
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
     now = ledger.where(F.arrays_overlap("rules", keys))
-    spans = F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))
+    spans = F.filter("spans", lambda s: F.array_contains(keys, F.concat(s["kind"], F.lit("@"), s["version"].cast("string"))))
     return now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
 
 
-def scan_paths(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``, if there is one yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(f"blob string, rules array<string>, spans {SPAN}").parquet(path)
+
+
+def _scanned(paths: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None, kept: str | None) -> tuple[DataFrame, DataFrame]:
+    """``blob, spans`` of the blobs of ``paths``, and the ledger with what is new; with ``kept``, that is added to the one there."""
+    ledger = stored(paths.sparkSession, kept) if kept else ledger
+    new, _ = materialize(scan(paths, rules, ledger), "ledger")
+    if kept:
+        new.write.mode("append").parquet(kept)
+    every = new if ledger is None else ledger.unionByName(new)
+    return (new.select("blob", "spans") if ledger is None else findings(every, rules)), every
+
+
+def scan_paths(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", version_col: str | None = None, kept: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, blob, spans)`` for every row of ``docs``, and the ledger with this scan's rows.
 
-    The ledger is a table in the shared folder; handing it in again scans only what is new. Null texts are the empty blob; null
-    ids, repeated rows and equal texts each get their row; an empty table gives none; other columns are not read.
+    Rows may be versions of a document: with ``version_col`` the version comes back too. A ledger handed in, or kept at the path
+    ``kept`` from run to run, makes only what is new be scanned: blobs it does not have, and rule versions it has not tried on them.
+    Null texts are the empty blob; null ids, repeated rows and equal texts each get their row; an empty table gives none; other
+    columns are not read.
     """
-    paths = blobs(docs, id_col, text_col)
-    new, _ = materialize(scan(paths, rules, ledger), "ledger")
-    ledger = new if ledger is None else ledger.unionByName(new)
-    return paths.select("doc_id", "blob").join(findings(ledger, rules) if ledger is not new else new.select("blob", "spans"), "blob").select("doc_id", "blob", "spans"), ledger
+    names = [id_col] + ([version_col] if version_col else [])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    paths = only(docs, *names, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), *([F.col(f"`{version_col}`").alias("version")] if version_col else []), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+    found, every = _scanned(paths, rules, ledger, kept)
+    return paths.drop("text").join(found, "blob").select("doc_id", *(["version"] if version_col else []), "blob", "spans"), every
 
 
 def listed(spans: Column) -> Column:
@@ -115,11 +133,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each run of overlapping spans replaced by its first kind in brackets."""
-    paths = blobs(docs, id_col, text_col)
-    new, _ = materialize(scan(paths, rules), "ledger")
-    hit = new.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, kept: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each run of overlapping spans replaced by its first kind in brackets.
+
+    With a ledger ``kept`` at a path, only blobs and rule versions that it does not have are scanned.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    found, _ = _scanned(only(docs, text_col).select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text")), rules, None, kept)
+    hit = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     text = f"`{text_col}`"
     cut = f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (acc, s) -> if(s.start >= acc.at,

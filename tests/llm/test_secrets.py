@@ -63,3 +63,28 @@ def test_redact(spark):
     df = spark.createDataFrame([(1, f"é token={H}!", 7), (2, None, 8), (3, "plain", 9), (3, "plain", 9)], "doc_id long, text string, blob int")
     got = sorted(map(tuple, secrets.redact(df).collect()))
     assert got == [(1, "é [assign]!", 7), (2, None, 8), (3, "plain", 9), (3, "plain", 9)]
+
+
+def test_kept_ledger_and_versions(spark, tmp_path):
+    """Of a second run, only new blobs and rule versions are scanned; spans are told by the version of their rule."""
+    at = str(tmp_path / "ledger")
+    v = lambda rows: spark.createDataFrame(rows, "doc_id long, rev int, text string")
+    one = [(1, 1, f"token={H}"), (1, 2, "clean"), (2, 1, f"token={H}")]
+    got, _ = secrets.scan_paths(v(one), version_col="rev", kept=at)
+    assert {(r.doc_id, r.version, len(r.spans)) for r in got.collect()} == {(1, 1, 2), (1, 2, 0), (2, 1, 2)}
+    assert spark.read.parquet(at).count() == 2
+    got, _ = secrets.scan_paths(v([*one, (1, 3, "AKIA1234567890ABCD")]), version_col="rev", kept=at)
+    assert got.count() == 4 and spark.read.parquet(at).count() == 3
+    rules = tuple(secrets.Rule("hex", 2, "[0-9a-f]{64,}") if r.kind == "hex" else r for r in secrets.RULES)
+    got, _ = secrets.scan_paths(v(one), rules, version_col="rev", kept=at)
+    assert {(r.doc_id, r.version, tuple(s.kind for s in r.spans)) for r in got.collect()} == {(1, 1, ("assign",)), (1, 2, ()), (2, 1, ("assign",))}
+    rows = spark.read.parquet(at).collect()
+    pairs = [(r.blob, k) for r in rows for k in r.rules]
+    assert len(pairs) == len(set(pairs)) == 3 * len(secrets.RULES) + 2
+    assert [r.text for r in secrets.redact(v(one[:1]), kept=at).collect()] == ["[assign]"] and len(spark.read.parquet(at).collect()) == len(rows)
+
+
+def test_many_matches(spark):
+    text = "é " + " ".join([H] * 1000) + " token=abcdefgh " * 300
+    got, _ = secrets.scan_paths(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert spans(got.collect()) == [(1, brute(text))]
