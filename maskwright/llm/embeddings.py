@@ -15,18 +15,20 @@ from maskwright.llm.common import drop_table, materialize, only
 from maskwright.llm.graph import components
 
 #: Vectors that are compared with each other in one group at most, about; larger buckets are dealt out in pairs of parts.
-PART = 1024
+PART = 512
+#: Vectors of a label in a bucket, about, for which the bits are planned.
+BUCKET = 1024
 #: Share of the pairs at the threshold itself that the tables find at least, in expectation; nearer pairs are found more surely.
 RECALL = 0.99
 
 
 def plan_tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """(bits, tables): buckets of about PART of n vectors of a label, and as many tables as the recall asks for.
+    """(bits, tables): buckets of about BUCKET of n vectors of a label, and as many tables as the recall asks for.
 
     Sending a vector to a bucket costs as much as a few hundred comparisons there, so few tables of large buckets are cheaper than
     many of small ones.
     """
-    bits = max(4, min(24, round(log2(max(2, n) / PART))))
+    bits = max(4, min(24, round(log2(max(2, n) / BUCKET))))
     same = (1 - acos(threshold) / pi) ** bits
     return bits, max(1, ceil(log(1 - recall) / log(1 - same)))
 
