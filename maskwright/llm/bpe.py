@@ -6,6 +6,8 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -32,11 +34,17 @@ class Automaton:
 
     Merge gadgets are applied to the one-state automaton of all strings, in the order of the merges. The gadget of (u, v) gives
     every state with a u-arc and then a v-arc an arc uv to where they lead, and turns the u-arcs to a copy of their target
-    without the v-arc. So all arcs of one token lead to one state, and that of uv starts as what the state of v is at that time.
-    A state is therefore kept as its token and, by the two parts of each merge, where it was copied from and when; whether it has
-    an arc is read off these tables (:meth:`has_arc`), which needs no table of all pairs of tokens.
+    without the v-arc. So all arcs of one token lead to one state, which is named by the token, and that of uv starts as what the
+    state of v is at that time: as a copy of v's without the arcs that gadgets before it took.
 
-    Symbols are bytes, and bytes that end a word, which are 256 higher.
+    A gadget takes from the state of u the v-arc, and with it all arcs that are added later by way of that arc: those of the tokens
+    that begin with v and are made after it. Tokens are numbered by a walk through the tree of first parts, later ones last, so
+    these are v and one range of numbers. A state's row of the transition table is therefore kept as the ranges of labels that it
+    has no arc for (:meth:`row`): those of its own gadgets, and of the states it was copied from up to the copy. For 49,000 tokens
+    that are some 1.6 million numbers, where a table of all pairs would have 2.4 thousand million.
+
+    Symbols are bytes, and bytes that end a word, which are 256 higher. Each merge must be able to apply when its turn comes, as
+    in a trained vocabulary.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
@@ -85,43 +93,75 @@ class Automaton:
                 else:
                     self.longest[to] = below
                 queue.append(to)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self._number(spelled)
+
+    def _number(self, spelled: dict[int, tuple[int, ...]]) -> None:
+        """Numbers the labels, and lists for each token the ranges that the gadgets with it as first part take, in their order."""
+        after: dict[int, list[int]] = {t: [] for t in spelled}
+        for uv, u in self.left.items():  # in the order of time
+            after[u].append(uv)
+        self.place, stop, n = {}, {}, 0
+        stack = [(t, False) for t in spelled if t not in self.left]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                stop[t] = n
+                continue
+            self.place[t], n = n, n + 1
+            stack.append((t, True))
+            stack += [(c, False) for c in reversed(after[t])]
+        made = {t: [self.time[c] for c in cs] for t, cs in after.items()}
+        taken: dict[int, list[tuple[int, int, int]]] = {}
+        for (u, v), when in self.merged.items():
+            later = bisect_left(made[v], when)
+            first = self.place[after[v][later]] if later < len(after[v]) else stop[v]
+            taken.setdefault(u, []).extend([(when, self.place[v], self.place[v] + 1), (when, first, stop[v])])
+        self.taken = {u: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for u, r in taken.items()}
+        self.rows = {t: self.row(t) for t in spelled}
+
+    def row(self, token: int) -> array:
+        """The bounds, in order, of the ranges of label numbers for which the state of ``token`` has no arc."""
+        low, high = [], []
+        t, limit = token, sys.maxsize
+        while True:
+            if t in self.taken:
+                when, a, b = self.taken[t]
+                n = int(np.searchsorted(when, limit))  # the copy was made then
+                low.append(a[:n])
+                high.append(b[:n])
+            if t not in self.right:
+                break
+            t, limit = self.right[t], min(limit, self.time[t])
+        if not low:
+            return array("i")
+        low, high = np.concatenate(low), np.concatenate(high)
+        some = low < high
+        low, high = low[some], high[some]
+        order = np.argsort(low, kind="stable")
+        low, high = low[order], np.maximum.accumulate(high[order])
+        new = np.concatenate((np.ones(min(1, len(low)), bool), low[1:] > high[:-1]))
+        last = np.concatenate((new[1:], np.ones(min(1, len(low)), bool)))
+        return array("i", np.stack([low[new], high[last]], axis=1).reshape(-1).tolist())
 
     def has_arc(self, token: int, label: int) -> bool:
         """Whether ``label`` may follow ``token``: the state of token has that arc after all gadgets."""
-        key = (token, label)
-        if (known := self.arcs.get(key)) is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            known = self.arcs[key] = self._has_arc(token, label)
-        return known
-
-    def _has_arc(self, token: int, label: int, before: int = sys.maxsize) -> bool:
-        while True:
-            t, limit = token, before
-            while True:  # the arc was taken from this state, or from the one it was copied from before it was copied
-                if self.merged.get((t, label), sys.maxsize) < limit:
-                    return False
-                if t not in self.right:
-                    break
-                t, limit = self.right[t], min(limit, self.time[t])
-            if label not in self.left:
-                return True
-            label, before = self.left[label], min(before, self.time[label] + 1)  # uv was added where u was left; after u itself, uu was not
+        return not bisect_right(self.rows[token], self.place[label]) & 1
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of a word: at each symbol, the longest token to end there that the state before it has an arc for."""
         n = len(word)
         last = [-1] * (n + 1)
         at = 0
-        nxt, fail, longest, size, shorter, has = self.next, self.fail, self.longest, self.size, self.shorter, self.has_arc
+        nxt, fail, longest, size, shorter, rows, place = self.next, self.fail, self.longest, self.size, self.shorter, self.rows, self.place
         for i in range(1, n + 1):
             s = word[i - 1] + 256 * (i == n)
             while at and s not in nxt[at]:
                 at = fail[at]
             at = nxt[at].get(s, 0)
             t = longest[at]
-            while size[t] < i and not has(last[i - size[t]], t):
+            while (k := size[t]) < i:
+                if not bisect_right(rows[last[i - k]], place[t]) & 1:
+                    break
                 t = shorter[t]
             last[i] = t
         out = []

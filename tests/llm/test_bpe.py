@@ -42,6 +42,46 @@ def test_every_character(lib):
     assert not [hex(ord(t[0])) for t in wrong]
 
 
+def merged(word, merges):
+    """The tokens of a word by the definition: each merge in turn, from the left."""
+    out = list(word)
+    for u, v in merges:
+        i, new = 0, []
+        while i < len(out):
+            both = out[i : i + 2] == [u, v]
+            new.append(u + v if both else out[i])
+            i += 1 + both
+        out = new
+    return out
+
+
+def test_arcs_allow_one_sequence_for_each_word():
+    """Small vocabularies: of all ways to cut a word into tokens, the table allows just the one that the merges make."""
+    rng = random.Random(9)
+    for _ in range(60):
+        letters = "abc"[: rng.randint(1, 3)]
+        tokens, merges = list(letters), []
+        for _ in range(rng.randint(0, 12)):
+            u, v = rng.choice(tokens), rng.choice(tokens)
+            if u + v not in tokens and merged(u + v, merges) == [u, v]:  # one that can apply, as in a trained vocabulary
+                merges.append((u, v))
+                tokens.append(u + v)
+        vocab = {t: n for n, t in enumerate(tokens)}
+        made = bpe.Automaton(vocab, [f"{u} {v}" for u, v in merges], "</w>")
+        for word in ("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(40)):
+            want = merged(word, merges)
+            pairs = list(zip(want, want[1:]))
+            assert all(made.has_arc(vocab[a], vocab[b]) for a, b in pairs), (merges, word)
+            # no other sequence of tokens for the word is all arcs
+            def ways(rest, last):
+                if not rest:
+                    yield []
+                for t in tokens:
+                    if rest.startswith(t) and (last is None or made.has_arc(vocab[last], vocab[t])):
+                        yield from ([t, *more] for more in ways(rest[len(t) :], t))
+            assert list(ways(word, None)) == [want], (merges, word)
+
+
 def test_frames(spark, lib):
     path = bpe.vocabulary()
     rows = [(1, "Hello  World"), (None, None), (2, ""), (2, ""), (3, "lorem " * 5000)]
