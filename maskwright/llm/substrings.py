@@ -26,6 +26,8 @@ from maskwright.llm.common import drop_table, materialize, only, shared_dir
 
 #: Bytes of text in a bucket, about; buckets are what tasks work on.
 BUCKET_BYTES = 1_000_000
+#: Buckets in a file, about.
+FILE_BUCKETS = 128
 #: Bytes hashed at once, but for longer documents.
 SLAB = 2_000_000
 #: An anchor is a place of which the hash of the next KMER bytes begins with RATE zero bits.
@@ -107,6 +109,74 @@ class Slab:
         return np.repeat(self.lo[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Words of a passage at least, and of the runs in it by which it is looked for first.
+PASSAGE, GRAM = 51, 24
+
+
+class Words:
+    """The words of some documents, end to end, with hashes of any run of them. Words are runs of bytes other than white space."""
+
+    def __init__(self, docs: list[bytes]):
+        data = np.frombuffer(b" ".join([*docs, b""]), np.uint8)
+        sizes = np.array([len(d) + 1 for d in docs], np.int64)
+        up, self.down = _powers(1 << max(20, (len(data) + 1).bit_length()))
+        table = np.random.default_rng(2).integers(0, 2**64, 256, dtype=np.uint64)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[: len(data)], out=total[1:])
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8)))
+        low, high = edge[::2], edge[1::2]
+        word = _mixed((total[high] - total[low]) * self.down[low] + (high - low).astype(np.uint64), 4)
+        self.doc = np.searchsorted(np.cumsum(sizes), low, "right")
+        self.sum = np.zeros(len(word) + 1, np.uint64)
+        np.cumsum(word * up[: len(word)], out=self.sum[1:])
+        n = max(0, len(word) - PASSAGE + 1)
+        self.start = np.flatnonzero(self.doc[:n] == self.doc[len(word) - n :]) if n else np.empty(0, np.int64)  # of passages within a document
+        grams = self.hash(np.arange(max(0, len(word) - GRAM + 1)), GRAM, 5)
+        # of the runs in a passage, the place of the least hash, the first of equals: equal passages have it at one place
+        least, span = np.arange(len(grams)), 1
+        want = PASSAGE - GRAM + 1
+        while span < want:
+            step = min(span, want - span)
+            a, b = least[: len(least) - step], least[step:]
+            least, span = np.where(grams[b] < grams[a], b, a), span + step
+        self.lead = least[self.start] if len(self.start) else self.start
+        self.gram = grams[self.lead]
+
+    def hash(self, starts: np.ndarray, n: int, salt: int) -> np.ndarray:
+        return _mixed((self.sum[starts + n] - self.sum[starts]) * self.down[starts], salt)
+
+    def counted(self, kind: int, h: np.ndarray, doc: np.ndarray) -> Rows:
+        """Hashes, each once, and whether several documents have it."""
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(h))[: len(at)] - 1
+        return np.full(len(at), kind, np.int8), h[at].view(np.int64), np.zeros(len(at), np.int64), (doc[at] != doc[last]).astype(np.int64)
+
+    def grams(self) -> Rows:
+        some = np.unique(self.lead, return_index=True)[1]
+        return self.counted(RUN, self.gram[some], self.doc[self.lead[some]])
+
+    def open(self, known: Known) -> np.ndarray:
+        """The passages that may stand in another document."""
+        return self.start[known.has(known.run, self.gram)]
+
+    def passages(self, known: Known) -> Rows:
+        some = self.open(known)
+        return self.counted(SHARED, self.hash(some, PASSAGE, 6), self.doc[some])
+
+    def shared(self, known: Known, n: int) -> np.ndarray:
+        """For each of n documents, the words inside a passage that stands in another one."""
+        some = self.open(known)
+        some = some[known.has(known.shared, self.hash(some, PASSAGE, 6))]
+        mark = np.zeros(len(self.doc) + 1, np.int64)
+        np.add.at(mark, some, 1)
+        np.subtract.at(mark, some + PASSAGE, 1)
+        return np.bincount(self.doc[np.cumsum(mark[:-1]) > 0], minlength=n)
+
+
 def _slabs(docs: list[bytes], length: int) -> Iterator[tuple[list[int], Slab]]:
     """Slabs of the documents that are long enough, with their numbers."""
     which, held = [], 0
@@ -122,8 +192,9 @@ def _slabs(docs: list[bytes], length: int) -> Iterator[tuple[list[int], Slab]]:
 
 
 #: Kinds of hashes: a short string at an anchor, with the least and greatest stretch it stands in; a stretch, or a far window;
-#: an open window. The last two come with whether they are in the bucket twice.
-NEAR, WHOLE, WINDOW = 0, 1, 2
+#: an open window; the last two come with whether they are in the bucket twice. A run of words, a passage: with whether several
+#: documents of the bucket have them.
+NEAR, WHOLE, WINDOW, RUN, SHARED = range(5)
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # kind, hash, low, high
 
 
@@ -141,18 +212,18 @@ def _first(docs: list[bytes], length: int) -> Rows:
     cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(near)), bool), near[1:] != near[:-1])))
     ends = np.append(cut[1:], len(near))[: len(cut)] - 1
     anchors = np.full(len(cut), NEAR, np.int8), near[cut].view(np.int64), signed[cut], signed[ends]
-    return tuple(np.concatenate(x) for x in zip(anchors, _counted(WHOLE, np.concatenate([whole, far])), strict=True))
+    return tuple(np.concatenate(x) for x in zip(anchors, _counted(WHOLE, np.concatenate([whole, far])), Words(docs).grams(), strict=True))
 
 
 class Known:
     """What the comparison says of a bucket's hashes: (kind, hash, first), first if no earlier bucket has the hash.
 
-    NEAR: it stands in different stretches. WHOLE and WINDOW: it repeats.
+    NEAR: it stands in different stretches. WHOLE and WINDOW: it repeats. RUN and SHARED: several documents have it.
     """
 
     def __init__(self, kind: np.ndarray, h: np.ndarray, first: np.ndarray):
-        sets = [(kind == NEAR), (kind == WHOLE), (kind == WHOLE) & first, (kind == WINDOW)]
-        self.mixed, self.whole, self.lead, self.window = (np.sort(h[x].view(np.uint64)) for x in sets)
+        sets = [(kind == NEAR), (kind == WHOLE), (kind == WHOLE) & first, (kind == WINDOW), (kind == RUN), (kind == SHARED)]
+        self.mixed, self.whole, self.lead, self.window, self.run, self.shared = (np.sort(h[x].view(np.uint64)) for x in sets)
 
     @staticmethod
     def has(known: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -172,7 +243,7 @@ def _second(docs: list[bytes], length: int, known: Known) -> Rows:
         whole = s.whole()
         some = known.has(known.mixed, s.near()) & (~known.has(known.whole, whole) | known.has(known.lead, whole))
         out.append(s.windows(s.between(np.flatnonzero(some))))
-    return _counted(WINDOW, np.concatenate(out))
+    return tuple(np.concatenate(x) for x in zip(_counted(WINDOW, np.concatenate(out)), Words(docs).passages(known), strict=True))
 
 
 def _removed(docs: list[bytes], length: int, known: Known) -> list[list[tuple[int, int]]]:
@@ -219,38 +290,50 @@ def _free(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def _compared(hashes: DataFrame, name: str) -> DataFrame:
+def _compared(hashes: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``bucket, kind, h, first`` of the hashes that :class:`Known` is about. A bucket has a hash of a kind once at most."""
     same = W.partitionBy("h", "kind")
     all_ = hashes.select("*", F.count("*").over(same).alias("n"), F.min("low").over(same).alias("least"), F.max("high").over(same).alias("most"), F.min("bucket").over(same).alias("lead"))
     repeats = F.when(F.col("kind") == NEAR, F.col("least") != F.col("most")).otherwise((F.col("n") > 1) | (F.col("most") > 0))
-    return materialize(all_.where(repeats).select("bucket", "kind", "h", (F.col("bucket") == F.col("lead")).alias("first")), name)[0]
+    return materialize(all_.where(repeats).select("bucket", "kind", "h", (F.col("bucket") == F.col("lead")).alias("first")), name)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for each row.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared_words`` for each row.
 
-    Removes every byte covered by a ``length``-byte string that starts anywhere else too, in this or any other row. Null texts are
-    empty; texts shorter than ``length`` lose nothing; repeated rows repeat each other's bytes; null ids, further columns and an
-    empty table are no special case. Strings are told apart by 64-bit hashes.
+    Removes every byte covered by a ``length``-byte string that starts anywhere else too, in this or any other row. n_shared_words
+    counts the words inside passages of over 50 words that another row has too; such passages are often shorter than 400 bytes, and
+    nothing is removed for them alone. Null texts are empty; texts shorter than ``length`` lose nothing; repeated rows repeat each
+    other's bytes; null ids, further columns and an empty table are no special case. Strings are told apart by 64-bit hashes.
 
     The texts are written once, bucketed by a hash, so later passes find them in place. Each pass sends hashes only, each at
     most once for a bucket: (1) of short strings at content-defined anchors, of the stretch of all windows that have an anchor as
     their next one, and of the few windows far from any; (2) of single windows, where one short string stands in different
-    stretches. No group of copies meets in a task: a hash that repeats has a row for each bucket, not for each copy.
+    stretches. No group of copies meets in a task: a hash that repeats has a row for each bucket, not for each copy. Passages go
+    the same way: (1) the run of words with the least hash in each; (2) the passages of which that run stands in another document.
     """
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")
     spark = docs.sparkSession
-    raw = only(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    raw = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
     total = raw.agg(F.sum(F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long"))).first()[0] or 0
     buckets = max(1, ceil(total / BUCKET_BYTES))
-    files = min(4096, max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    keyed = raw.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
+    files = max(ceil(buckets / FILE_BUCKETS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # not by the row's place: that may change if a task is run again
+    keyed = raw.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "raw", F.spark_partition_id()), F.lit(buckets)).cast("int"))
     name = f"texts_{uuid.uuid4().hex}"
-    keyed.repartition(files, "bucket").write.bucketBy(files, "bucket").sortBy("bucket").option("compression", "zstd").option("path", place := f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    _free(spark)
-    texts = spark.table(name)
+    place = f"{shared_dir(spark)}/{name}"
+    try:
+        keyed.repartition(files, "bucket").write.bucketBy(files, "bucket").sortBy("bucket").option("compression", "zstd").option("path", place).saveAsTable(name)
+        _free(spark)
+        return _passes(spark, spark.table(name), length, dict(raw.dtypes)["doc_id"])
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        drop_table(spark, place)
+
+
+def _passes(spark: SparkSession, texts: DataFrame, length: int, id_type: str) -> DataFrame:
+    """The passes of :func:`remove_repeats` over the bucketed texts; the result is written."""
 
     def first(table: pa.Table) -> pa.Table:
         return _sent(table.column("bucket")[0].as_py(), _first(_texts(table), length))
@@ -275,19 +358,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         ints = lambda x: pa.array(x, pa.int64())
         return pa.table({
             "doc_id": table.column("doc_id"), "n_bytes": ints([len(d) for d in them]), "n_removed": ints([sum(b - a for a, b in r) for r in runs]), "n_spans": ints([len(r) for r in runs]),
-            "kept_sha256": pa.array(kept, pa.string()), "spans": pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            "kept_sha256": pa.array(kept, pa.string()), "n_shared_words": ints(Words(them).shared(told(known), len(them))), "spans": pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    id_type = dict(raw.dtypes)["doc_id"]
-    one = _compared(texts.groupBy("bucket").applyInArrow(first, _SENT), "repeats")
+    one, one_at = _compared(texts.groupBy("bucket").applyInArrow(first, _SENT), "repeats")
     _free(spark)
     by = lambda df: df.groupBy("bucket")
-    two = _compared(by(texts).cogroup(by(one)).applyInArrow(second, _SENT), "repeats")
+    two, two_at = _compared(by(texts).cogroup(by(one)).applyInArrow(second, _SENT), "repeats")
     _free(spark)
-    out = by(texts).cogroup(by(one.unionByName(two))).applyInArrow(third, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    out = by(texts).cogroup(by(one.unionByName(two))).applyInArrow(third, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, spans array<struct<start:long,end:long>>")
     out, _ = materialize(out, "kept")
-    spark.sql(f"drop table {name}")
-    drop_table(spark, place)
+    for path in (one_at, two_at):
+        drop_table(spark, path)
     return out
 
 
@@ -372,4 +454,4 @@ def repeats_within(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, strings of 400 bytes."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")

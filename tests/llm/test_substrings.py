@@ -46,6 +46,52 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def shared_words(texts):
+    words = [(t or "").encode().split() for t in texts]
+    where = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - 50):
+            where.setdefault(tuple(w[i : i + 51]), set()).add(d)
+    out = []
+    for w in words:
+        hit = set()
+        for i in range(len(w) - 50):
+            if len(where[tuple(w[i : i + 51])]) > 1:
+                hit |= set(range(i, i + 51))
+        out.append(len(hit))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [2000, 10**6])
+def test_passages(spark, monkeypatch, bucket):
+    """Passages of 50 words are none, of 51 are; a passage that repeats within a document alone is none; short words are under 400 bytes."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", bucket)
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(99)}" for _ in range(n))
+    texts = []
+    for n in (50, 51, 52, 75, 200):
+        p = own(n)
+        texts += [f"{own(rng.randrange(40))} {p}  {own(rng.randrange(40))}\n", f"{own(30)}\t{p}", f"{p} {own(5)} {p}"]
+    twice = own(60)
+    texts += [f"{twice} x {twice}", own(300), None, "", own(51), texts[4], texts[4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_shared_words for r in substrings.remove_repeats(df, 400).collect()}
+    want = shared_words(texts)
+    assert [got[i] for i in range(len(texts))] == want and want[:3] == [0, 0, 0] and min(want[3:15]) > 50 and want[15] == 0
+
+
+def test_many_buckets(spark, monkeypatch):
+    """Real documents over more than a hundred buckets, strings of 400 bytes, against brute force."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 6000)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    raw = [(t or "").encode() for _, t in rows]
+    assert sum(map(len, raw)) > 450_000
+    want = sorted((i, len(d), *x) for (i, _), d, x in zip(rows, raw, brute(raw, 400), strict=True))
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 400).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert {r.doc_id: r.n_shared_words for r in got} == dict(zip([i for i, _ in rows], shared_words([t for _, t in rows]), strict=True))
+
+
 def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
