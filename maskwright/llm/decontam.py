@@ -18,6 +18,8 @@ from maskwright.llm.common import WORD_BYTES, drop_table, materialize, only
 SHARD_WORDS = 1_000_000
 #: Windows that a task looks for in a shard at once.
 WINDOWS = 200_000
+#: Terms of windows up to which their hashes are broadcast: a few MB.
+FEW_TERMS = 300_000
 #: Words on either side of a window's rarest one within which a proximity match has all its words.
 REACH = 15
 
@@ -198,35 +200,48 @@ def intersect(h: np.ndarray, steps: list[np.ndarray], ends: np.ndarray, terms: n
     return live[exact], start, live[window], place
 
 
-def _ranked(found: DataFrame, index_: Index) -> DataFrame:
+def _looked_up(index_: Index, terms: DataFrame) -> tuple[DataFrame, str]:
+    """``shard, h, n, places``: the postings of the terms in ``terms(h)``, and each shard's documents; written.
+
+    The terms are broadcast if they are few by count; else Spark has to send the whole index to them.
+    """
+    used, at = materialize(terms.distinct(), "terms")
+    some = F.broadcast(used) if used.count() <= FEW_TERMS else used
+    found = index_.postings.select("shard", "h", "n", "places").join(some, "h", "left_semi").unionByName(index_.shards.select("shard", "h", "n", "places"))
+    out = materialize(found, "lists")
+    drop_table(terms.sparkSession, at)
+    return out
+
+
+def _ranked(each: DataFrame, lists: DataFrame) -> DataFrame:
     """``window, h array<long>, place array<int>`` of the windows of which the documents have all terms, from the rarest on.
 
     Terms are counted over all documents; of equally rare ones the first in the window counts as the rarer.
     """
-    distinct = found.groupBy("window").agg(F.first("terms").alias("terms"))
-    each = distinct.select("window", F.posexplode("terms").alias("place", "term"))
-    counts = index_.postings.select("term", "n").join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
-    all_ = each.join(counts, "term", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "place", F.xxhash64("term").alias("h")))).alias("t"))
+    counts = lists.where("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
+    all_ = each.join(counts, "h", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "place", "h"))).alias("t"))
     return all_.where(~F.exists("t", lambda x: x["n"].isNull())).select("window", F.col("t.h").alias("h"), F.col("t.place").alias("place"))
 
 
 _MATCH = "shard long, doc int, start int, stop int, window binary, near boolean"
 
 
-def matches(index_: Index, found: DataFrame, reach: int | None = None) -> DataFrame:
+def matches(index_: Index, found: DataFrame, reach: int | None = None) -> tuple[DataFrame, str]:
     """``shard, doc, start, stop, window, near`` for ``found(window, terms)``: what of the windows the documents hold.
 
     Rows of three kinds: words from start to stop are hit (window is null); the document has the window (near is false), or its
     words close by (near is true; start is the place of the rarest word). A window is looked for in the shards that have its rarest
-    term, whose posting lists for the windows' terms meet it there; neither documents nor windows go through the driver.
+    term, whose posting lists for the windows' terms meet it there; neither documents nor windows go through the driver. Written;
+    also returns the path. A term is told by a 64-bit hash here.
     """
-    ranked = _ranked(found, index_)
+    distinct = found.groupBy("window").agg(F.first("terms").alias("terms"))
+    each, each_at = materialize(distinct.select("window", F.posexplode("terms").alias("place", "term")).select("window", "place", F.xxhash64("term").alias("h")), "each")
+    lists, lists_at = _looked_up(index_, each.select("h"))
+    ranked, ranked_at = materialize(_ranked(each, lists), "ranked")
     blocks = max(1, -(-ranked.count() // WINDOWS))
     ranked = ranked.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
-    todo = ranked.withColumn("rarest", F.col("h")[0]).join(index_.postings.select(F.col("h").alias("rarest"), "shard"), "rarest").select("shard", "block", "window", "h", "place")
-    used = ranked.select(F.explode("h").alias("h")).distinct()
-    lists = index_.postings.select("shard", "h", "places").join(used, "h", "left_semi").unionByName(index_.shards.select("shard", "h", "places"))
-    lists = lists.withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))) if blocks > 1 else F.lit(0))
+    todo = ranked.withColumn("rarest", F.col("h")[0]).join(lists.where("h is not null").select(F.col("h").alias("rarest"), "shard"), "rarest").select("shard", "block", "window", "h", "place")
+    met = lists.select(F.col("shard").alias("shard"), F.col("h").alias("h"), F.col("places").alias("places")).withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))) if blocks > 1 else F.lit(0))
 
     def run(windows_: pa.Table, lists_: pa.Table) -> pa.Table:
         schema = pa.schema([("shard", pa.int64()), ("doc", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("window", pa.binary()), ("near", pa.bool_())])
@@ -269,7 +284,10 @@ def matches(index_: Index, found: DataFrame, reach: int | None = None) -> DataFr
         shard = lists_.column("shard")[0].as_py()
         return pa.concat_tables([pa.Table.from_arrays([pa.array(np.full(len(d), shard)), ints(d), a, b, w, pa.array(np.full(len(d), near))], schema=schema) for d, a, b, w, near in parts])
 
-    return todo.groupBy("shard", "block").cogroup(lists.groupBy("shard", "block")).applyInArrow(run, _MATCH)
+    out, at = materialize(todo.groupBy("shard", "block").cogroup(met.groupBy("shard", "block")).applyInArrow(run, _MATCH), "matches")
+    for path in (each_at, lists_at, ranked_at):
+        drop_table(found.sparkSession, path)
+    return out, at
 
 
 def _hit(found: DataFrame) -> DataFrame:
@@ -286,7 +304,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
     """
     spark = docs.sparkSession
     built = index(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
-    found, at = materialize(matches(built, windows(benchmark, size, item_col, item_text_col)), "matches")
+    found, at = matches(built, windows(benchmark, size, item_col, item_text_col))
     bad, _ = materialize(built.documents().join(found.where("window is null").select("shard", "doc").distinct(), ["shard", "doc"], "left_semi").select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2")).distinct(), "hit")
     drop_table(spark, at)
     built.drop()
@@ -307,7 +325,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     spark = docs.sparkSession
     built = index(docs, id_col, text_col)
     given, given_at = materialize(windows(benchmark, size, item_col, item_text_col), "windows")
-    found, found_at = materialize(matches(built, given, reach), "matches")
+    found, found_at = matches(built, given, reach)
     of = given.where("item is not null").select("window", "item").distinct()
     named = found.where("window is not null").select("shard", "doc", "window", "near").distinct().join(of, "window")
     listed = lambda near: F.array_sort(F.collect_set(F.when(F.col("near") == near, F.struct(F.col("item").cast("string").alias("name"), "item"))))["item"]
@@ -330,10 +348,12 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, reach: i
     spark = docs.sparkSession
     built = index(docs, id_col, text_col)
     given, given_at = materialize(windows(benchmark, size, item_col, item_text_col), "windows")
-    close = matches(built, given, reach).where("near").select("shard", "doc", F.col("start").cast("long").alias("word"), "window")
+    found, found_at = matches(built, given, reach)
+    close = found.where("near").select("shard", "doc", F.col("start").cast("long").alias("word"), "window")
     items = given.where("item is not null").select("window", F.col("item").alias("item_id")).distinct()
     out, _ = materialize(close.join(items, "window").select("shard", "doc", "item_id", "word").distinct().join(built.documents(), ["shard", "doc"]).select("doc_id", "item_id", "word"), "near")
-    drop_table(spark, given_at)
+    for path in (given_at, found_at):
+        drop_table(spark, path)
     built.drop()
     return out
 
