@@ -1,8 +1,9 @@
 """MySQL dumps as DataFrames, and back.
 
 A dump is read in records that end where a semicolon ends a line, by Spark's text source, so large files are read in parallel by
-any path Spark knows. Dump programs write newlines in strings as escapes, so a record is a whole number of statements; a file where
-one is not (a string that holds such an end of line) is put together in order by one task for that file, in a stream.
+any path Spark knows. Dump programs write newlines in strings as escapes, so a block of a file mostly begins and ends between
+statements. Where one does not (a string that holds such an end of line), each block is read for all it may begin within, which
+settles in what each does begin; only the pieces of statements that go over blocks are then put together.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.anonymize import plan_table, transform
 from maskwright.plans.config import KEEP, Config, resolve_key
+from maskwright.plans.shared import dropped, shared_path, written
 from maskwright.sources import mysqltext as text
 
 #: Where a statement is: files in order of name, blocks in order of place, records and statements in order of reading.
 PLACE = ["file", "block", "record", "part"]
+#: The kind of a piece of a statement that goes over blocks, and the part of all but its first.
+PIECE, LATER = "piece", 2**31 - 1
 STATEMENT = "file string, block long, record long, part int, kind string, table string, raw binary"
 
 
@@ -42,69 +46,161 @@ def _ended(left: bytes) -> bytes:
     return left + b";\n" if re.sub(rb"(?m)^\s*(?:--(?:\s|$)|#)[^\n]*$", b"", left).strip() else left
 
 
+class _Block:
+    """Cuts the records of a block into statements; ``within`` is what the block begins in."""
+
+    def __init__(self, within: bytes = b""):
+        self.held, self.within = within, within
+
+    def feed(self, value: bytes, final: bool, last: bool) -> list[bytes]:
+        """Statements that end in this record. The first may be the end of one that began before the block.
+
+        The reader took off what ends a record. Only the ``final`` record of a block may have had none, at the end of the file: then
+        only comments are left, by whole lines, or in the ``last`` block of the file.
+        """
+        if not final:
+            done, self.held = text.split_statements(self.held + value + b";\n")
+            return done
+        done, left = text.split_statements(self.held + value)
+        more, self.held = text.split_statements(_ended(left) if last else left + b";\n") if left else ([], b"")
+        return done + more
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, bytes, bool, bool]]:
+    """``(file, block), record, value, final, last`` of a partition; final: of its block."""
+    before = None
+    for b in batches:
+        for f, at, record, value, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if before:
+                yield *before[:3], before[0] != (f, at), before[3]
+            before = ((f, at), record, value, last)
+    if before:
+        yield *before[:3], True, before[3]
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], within: dict) -> Iterator[tuple]:
+    """``(key, record, statements, block)`` for each record, and ``(key, None, [], block)`` at each block's end, of a partition's batches."""
+    block = None
+    for key, record, value, final, last in _records(batches):
+        block = block or _Block(within.get(key, (b"",))[0])
+        yield key, record, block.feed(value, final, last), block
+        if final:
+            yield key, None, [], block
+            block = None
+
+
+def _unsettled(records: DataFrame) -> dict[tuple[str, int], tuple[bytes, int]]:
+    """What each block begins within, and in which block that statement began, where that is not between statements.
+
+    The driver gets rows for files only that have such a block: one for each block, as it has for each file split anyway.
+    """
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [k[0] for k, record, _, block in _in_blocks(batches, {}) if record is None and text.open_at_end(block.held)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["file"])
+
+    odd = [r[0] for r in records.mapInArrow(ends, "file string").distinct().collect()]
+    if not odd:
+        return {}
+
+    def all_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, runs, ended = [], [], []
+        for key, _, value, final, last in _records(batches):
+            if not runs:
+                runs, ended = [_Block(o) for o in text.OPENERS], [False] * len(text.OPENERS)
+            ended = [bool(r.feed(value, final, last)) or e for r, e in zip(runs, ended, strict=True)]
+            if final:
+                rows.append((*key, [text.open_at_end(r.held) for r in runs], ended))
+                runs = []
+        yield _batch(rows, [("file", pa.string()), ("block", pa.int64()), ("ends", pa.list_(pa.binary())), ("ended", pa.list_(pa.bool_()))])
+
+    out: dict[tuple[str, int], tuple[bytes, int]] = {}
+    file, state, owner = None, b"", 0
+    some = records.where(F.col("file").isin(odd)).mapInArrow(all_ends, "file string, block long, ends array<binary>, ended array<boolean>")
+    for r in some.orderBy("file", "block").collect():
+        if r.file != file:
+            file, state = r.file, b""
+        if state:
+            out[r.file, r.block] = (state, owner)
+        n = text.OPENERS.index(state)
+        if r.ended[n] or not state:
+            owner = r.block
+        state = bytes(r.ends[n])
+    return out
+
+
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """``file, block, record, part, kind, table, raw`` of every statement, in no order; the first four give the place."""
     records = (
         spark.read.option("lineSep", ";\n").text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record"), F.col("value").cast("binary").alias("value"))
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record"), F.col("value").cast("binary").alias("value"),
+                (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("last"))
     )
+    within = _unsettled(records)
 
-    def is_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            some = [f for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text.ends_open(v)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["file"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, place, n = [], None, 0
+        for (file, at), record, done, block in _in_blocks(batches, within):
+            if record is None:  # the block's end
+                if block.held:
+                    if block.within:  # all of it is within one statement
+                        rows.append((file, within[file, at][1], at, LATER, PIECE, None, block.held[len(block.within) :]))
+                    elif text.open_at_end(block.held):
+                        rows.append((file, at, *(place or (0, 0)), PIECE, None, block.held))
+                    else:
+                        rows.append(_row((file, at, place[0]), place[1], block.held))
+                continue
+            for i, s in enumerate(done):
+                if block.within:
+                    rows.append((file, within[file, at][1], at, LATER, PIECE, None, s[len(block.within) :]))
+                    block.within = b""
+                else:
+                    rows.append(_row((file, at, record), i, s))
+            place = (record, len(done))
+            if len(rows) >= 2000:
+                yield _batch(rows, _ARROW)
+                rows = []
+        yield _batch(rows, _ARROW)
 
-    broken = [r[0] for r in records.select("file", "value").mapInArrow(is_open, "file string").distinct().collect()]  # one row a file at most
+    out = records.mapInArrow(whole, STATEMENT)
+    if not within:
+        return out
+    # the first piece has the statement's place, a later one that of its block in the file
+    out = written(out, "statements")
+    pieces = out.where(F.col("kind") == PIECE).select("file", "block", F.struct((F.col("part") == LATER).alias("later"), "record", "part", "raw").alias("p"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for f, block, record, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                done, left = text.split_statements(value)
-                rows += [_row((f, block, record), n, s) for n, s in enumerate([*done, _ended(left)] if left else done)]
+            for f, block, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.append(_row((f, block, parts[0]["record"]), parts[0]["part"], b"".join(p["raw"] for p in parts)))
             yield _batch(rows, _ARROW)
 
-    def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, held, at, n = None, b"", (), 0
-        for b in batches:
-            rows = []
-            for f, block, record, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if f != file:
-                    rows += [_row(at, n, held)] if held.strip() else []
-                    file, held = f, b""
-                if not held:
-                    at, n = (f, block, record), 0
-                done, left = text.split_statements(held + value)
-                more, held = text.split_statements(_ended(left))
-                done += more
-                rows += [_row(at, n + i, s) for i, s in enumerate(done)]
-                n += len(done)
-            yield _batch(rows, _ARROW)
-        if held.strip():
-            yield _batch([_row(at, n, held)], _ARROW)
-
-    fine = records.where(~F.col("file").isin(broken)) if broken else records
-    out = fine.mapInArrow(whole, STATEMENT)
-    if broken:
-        some = records.where(F.col("file").isin(broken)).repartition("file").sortWithinPartitions("file", "block", "record")
-        out = out.unionByName(some.mapInArrow(stitched, STATEMENT))
-    return out
+    gathered = pieces.groupBy("file", "block").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    return out.where(F.col("kind") != PIECE).unionByName(gathered.mapInArrow(joined, STATEMENT))
 
 
 @dataclass
 class Dump:
+    """A dump's statements, kept in the shared folder by table, so that what is of one table reads no other's; and its definitions."""
+
     statements: DataFrame
     tables: dict[str, text.TableDef]
+    path: str
+
+    def close(self) -> None:
+        """Deletes the statements; nothing may read them any more."""
+        dropped(self.statements.sparkSession, self.path)
 
     def rows(self, table: str) -> DataFrame:
         """The table's rows: place of the statement, ``row``, and for each column ``lit_<n>`` as written and ``str_<n>`` if text.
 
-        Statements of other tables are dropped before their values are looked at.
+        ``head`` is what the statement has before its values, on its first row.
         """
         info = self.tables[table]
         names = [c.name for c in info.columns]
-        schema = ", ".join(["file string, block long, record long, part int, `row` int", *(f"lit_{n} binary, str_{n} binary" for n in range(len(names)))])
-        arrow = [*_ARROW[:4], ("row", pa.int32()), *((f"{k}_{n}", pa.binary()) for n in range(len(names)) for k in ("lit", "str"))]
+        schema = ", ".join(["file string, block long, record long, part int, `row` int, head binary", *(f"lit_{n} binary, str_{n} binary" for n in range(len(names)))])
+        arrow = [*_ARROW[:4], ("row", pa.int32()), ("head", pa.binary()), *((f"{k}_{n}", pa.binary()) for n in range(len(names)) for k in ("lit", "str"))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -116,7 +212,7 @@ class Dump:
                         if len(values) != len(order):
                             raise text.DumpError(f"{table}: {len(values)} values for {len(order)} columns")
                         by = dict(zip(order, values, strict=True))
-                        rows.append((*at, n, *(x for c in names for x in by.get(c, (None, None)))))
+                        rows.append((*at, n, None if n else head.prefix, *(x for c in names for x in by.get(c, (None, None)))))
                         if len(rows) >= 5000:
                             yield _batch(rows, arrow)
                             rows = []
@@ -152,15 +248,17 @@ class Dump:
 
 
 def read_dump(spark: SparkSession, path: str) -> Dump:
-    """The dump at ``path``; table definitions (small) come to the driver, whatever their place. Data of a table without one is an
-    error."""
-    statements = read_statements(spark, path)
+    """The dump at ``path``, whose text is read once; table definitions (small) come to the driver, whatever their place. Data of a
+    table without one is an error."""
+    at = shared_path(spark, "statements")
+    read_statements(spark, path).select("file", "block", "record", "part", "kind", "raw", "table").write.partitionBy("table").option("compression", "zstd").parquet(at)
+    statements = spark.read.schema("file string, block long, record long, part int, kind string, raw binary, table string").parquet(at)
     found = [text.parse_create(bytes(r[0])) for r in statements.where(F.col("kind") == "create").orderBy(*PLACE).select("raw").collect()]
     tables = {t.name: t for t in found}
     loose = [r[0] for r in statements.where(F.col("kind") == "insert").select("table").distinct().collect() if r[0] not in tables]
     if loose:
         raise text.DumpError(f"data without a CREATE TABLE: {', '.join(sorted(loose))}")
-    return Dump(statements, tables)
+    return Dump(statements, tables, at)
 
 
 def _literal(value: F.Column) -> F.Column:
@@ -189,11 +287,12 @@ def anonymize_dump(dump: Dump, config: Config, key: bytes | None = None) -> Data
             out = out.unionByName(insert.select(*PLACE, "raw"))
             continue
         rows = dump.rows(t)
-        texts = rows.select(*rows.columns, *[F.col(f"str_{n}").cast("string").alias(f"`{c.name}`".strip("`")) for n, c in enumerate(d.columns)])
+        own = {c: f"_dump_{c}" for c in rows.columns}  # a column of the table may be named like one of ours
+        texts = rows.select(*[F.col(c).alias(n) for c, n in own.items()], *[F.col(f"str_{n}").cast("string").alias(c.name) for n, c in enumerate(d.columns)])
         made = transform(texts, plan, key)
         values = []
         for n, c in enumerate(d.columns):
-            lit, rule = F.col(f"lit_{n}"), plan.rules[c.name]
+            lit, rule = F.col(own[f"lit_{n}"]), plan.rules[c.name]
             is_null = F.upper(lit.cast("string")) == "NULL"
             null = F.lit("NULL").cast("binary")
             if rule.kind == "keep":
@@ -203,19 +302,18 @@ def anonymize_dump(dump: Dump, config: Config, key: bytes | None = None) -> Data
             elif rule.kind in ("null", "constant"):
                 value = F.when(is_null, null).otherwise(_literal(F.lit(rule.value)))
             else:
-                value = F.when(F.col(f"str_{n}").isNull(), lit).otherwise(_literal(F.col(f"`{c.name}`")))
+                value = F.when(F.col(own[f"str_{n}"]).isNull(), lit).otherwise(_literal(F.col(f"`{c.name}`")))
             values.append(F.when(lit.isNotNull(), value))
         # columns that the INSERT leaves out have no literal; explicit lists keep their own order
         parts = F.filter(F.array(*[F.struct(F.lit(c.name).alias("name"), v.alias("v")) for c, v in zip(d.columns, values, strict=True)]), lambda x: x["v"].isNotNull())
-        packed = made.select(*PLACE, "row", parts.alias("values"))
-        gathered = packed.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("row", "values"))).alias("rows"))
-        joined = insert.select(*PLACE, "raw").join(gathered, PLACE)
+        packed = made.select(*[F.col(own[c]).alias(c) for c in (*PLACE, "row", "head")], parts.alias("values"))
+        gathered = packed.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("row", "head", "values"))).alias("rows"))
 
         def rebuilt(batches: Iterator[pa.RecordBatch], names=tuple(c.name for c in d.columns)) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 new = []
-                for raw, rows_ in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                    head = text.insert_head(raw)
+                for rows_ in b.column(4).to_pylist():
+                    head = text.insert_head(rows_[0]["head"])
                     lines = []
                     for r in rows_:
                         by = {x["name"]: x["v"] for x in r["values"]}
@@ -223,7 +321,7 @@ def anonymize_dump(dump: Dump, config: Config, key: bytes | None = None) -> Data
                     new.append(head.prefix + b",".join(lines) + b";\n")
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(new, pa.binary())], [*PLACE, "raw"])
 
-        out = out.unionByName(joined.mapInArrow(rebuilt, "file string, block long, record long, part int, raw binary"))
+        out = out.unionByName(gathered.mapInArrow(rebuilt, "file string, block long, record long, part int, raw binary"))
     return out
 
 
@@ -237,3 +335,16 @@ def dump_bytes(statements: DataFrame) -> Iterator[bytes]:
     """The dump in order, a partition at a time, for a pipe."""
     for r in statements.orderBy(*PLACE).select("raw").toLocalIterator():
         yield bytes(r[0])
+
+
+def spooled(spark: SparkSession, stream, chunk: int = 1 << 22) -> str:
+    """Puts a stream, such as standard input, into a file of the shared folder, a piece at a time; returns the path."""
+    path = shared_path(spark, "input")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        while piece := stream.read(chunk):
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+    return path

@@ -92,6 +92,32 @@ def test_round_trip(spark, tmp_path, change):
     assert dump.table("log").count() == 2 and len(dump.notable()) == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_statements_over_blocks(spark, tmp_path, seed):
+    """Strings, comments and names full of ends of lines, in many small blocks: the bytes and the rows are as they were."""
+    rng = random.Random(seed)
+    odd = lambda: "".join(rng.choice(["x;\n", ";\n", "a", "\\'", "''", '"', "`", "/*", "-- ", "long word " * 9]) for _ in range(rng.randrange(12)))
+    parts = ["CREATE TABLE `t` (`id` int, `row` text, `file` text);\n"]
+    for n in range(60):
+        if rng.random() < 0.2:
+            parts.append(rng.choice(["-- note; here;\n", "/* block;\n of ' text;\n */;\n", "SET x = 1 -- y;\n + 2;\n", "\n"]))
+        parts.append(f"INSERT INTO `t` VALUES ({n},'{odd()}','{odd()}');\n")
+    data = "".join(parts).encode()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(rng.choice([64, 200, 1500])))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        dump = load(spark, tmp_path, data)
+        statements = dump.statements.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert b"".join(bytes(r.raw) for r in sorted(statements, key=lambda r: (r.file, r.block, r.record, r.part))) == data
+    assert sorted(r.id for r in dump.table("t").select("id").collect()) == list(range(60))
+    config = cfg.parse("tables: {t: {row: hash, file: keep}}\ndefaults: {on_unclassified: keep}")
+    assert b"".join(mysqldump.dump_bytes(mysqldump.anonymize_dump(dump, config, b"k" * 16))).count(b"INSERT INTO") == 60
+    dump.close()
+
+
 def test_anonymized(spark, tmp_path):
     dump = load(spark, tmp_path, HEAD + ROWS)
     config = cfg.parse("tables: {account: {email: email, phone: phone, about: 'constant(\"it''s\")', seen: date_shift}}\nskip_tables: [log]")
@@ -116,6 +142,19 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["check", "--from", "d.sql", "--config", "c.yaml"]) == 0
     assert cli.main(["transform", "--from", "d.sql", "--config", "c.yaml", "--out", "o", "--verbose"]) == 0
     assert cli.main(["transform", "--from", "d.sql", "--config", "c.yaml", "--dry-run"]) == 0
+    import io
+    import os
+    import sys
+    import threading
+
+    os.mkfifo("pipe")
+    read = []
+    reader = threading.Thread(target=lambda: read.append(open("pipe", "rb").read()))
+    reader.start()
+    monkeypatch.setattr(sys, "stdin", type("In", (), {"buffer": io.BytesIO(HEAD + ROWS)}))
+    assert cli.main(["transform", "--from", "-", "--config", "c.yaml", "--out", "pipe", "--progress"]) == 0
+    reader.join()
+    assert read[0].startswith(HEAD) and b"a@b.fr" not in read[0]
     (tmp_path / "bad.yaml").write_text("columns: {'*.phone': phone}\n")
     assert cli.main(["check", "--from", "d.sql", "--config", "bad.yaml"]) == 1
     assert cli.main(["transform", "--from", "d.sql", "--config", "bad.yaml", "--out", "p"]) == 1 and not (tmp_path / "p").exists()
