@@ -171,6 +171,17 @@ for _name, _column in {"is_email": "email", "is_phone": "phone", "is_ip": "ip",
     _detector(_name, _column)
 
 
+_NUMBER = r"[+][0-9][0-9 ().-]{8,}[0-9]"
+_DIALLED = "regexp_replace(number, '[^0-9+]', '', 'g')"
+
+
+@query("is_phone_numbers", f"select id, count(*) as n from (select doc_id as id, unnest(regexp_extract_all(text, '{_NUMBER}')) as number from documents) where {DETECTORS['is_phone'](DUCK, _DIALLED)} group by id")
+def _(spark, sf_dir):
+    """International numbers as they are written in running text, punctuation taken out."""
+    numbers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(0))).alias("number"))
+    return numbers.withColumn("number", F.regexp_replace("number", "[^0-9+]", "")).where(DETECTORS["is_phone"](SPARK, "number")).groupBy("id").agg(F.count("*").alias("n"))
+
+
 @query("skip_table_empty", "select * from region where false")
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "region")
@@ -458,6 +469,72 @@ def _(spark, sf_dir):
     return read_dump(spark, out).table("customer")
 
 
+def _command(spark: SparkSession, sf_dir: str, config: str, *argv: str) -> tuple[int, dict[str, str], str]:
+    """Runs the command line on a dump of customers and persons: its code, the small files it leaves on the driver, its shared folder."""
+    import contextlib
+    import io
+    import os
+    import tempfile
+
+    from maskwright import cli
+    from maskwright.plans.shared import shared_path
+    from maskwright.sources.generate import dump_of
+
+    dump = dump_of(spark, {"customer": (table(spark, sf_dir, "customer"), "c_custkey"), "people": (people(spark, sf_dir), "id")})
+    with tempfile.TemporaryDirectory() as at, contextlib.redirect_stdout(io.StringIO()):
+        with open(f"{at}/config.yaml", "w", encoding="utf-8") as f:
+            f.write(config)
+        out = shared_path(spark, "dump")
+        names = {"CONFIG": f"{at}/config.yaml", "OUT": out, "MADE": f"{at}/made.yaml", "REPORT": f"{at}/report"}
+        code = cli.main([argv[0], "--from", dump, *(names.get(x, x) for x in argv[1:])])
+        files = {}
+        for d, _, found in os.walk(at):
+            for x in found:
+                with open(f"{d}/{x}", encoding="utf-8") as f:
+                    files[x] = f.read()
+    return code, files, out
+
+
+@query("cmd_transform", "select c_custkey, 'x' as c_name, c_nationkey, c_acctbal, cast(null as varchar) as c_mktsegment from customer")
+def _(spark, sf_dir):
+    from maskwright.sources.mysqldump import read_dump
+
+    config = "tables: {customer: {c_name: 'constant(\"x\")', c_mktsegment: 'null'}}\nskip_tables: [people]\ndefaults: {on_unclassified: keep}"
+    code, _, out = _command(spark, sf_dir, config, "transform", "--config", "CONFIG", "--out", "OUT", "--report", "REPORT")
+    if code:
+        raise RuntimeError(f"transform ended with {code}")
+    return read_dump(spark, out).table("customer")
+
+
+@query("cmd_check", f"select * from (values {_values([('people missing', 1), ('people covered', 0), ('review', 1), ('conflict', 1)])}) c(config, code)")
+def _(spark, sf_dir):
+    """The exit codes of check: 1 where a sensitive column has no rule, an entry is under review or two sections decide."""
+    every = ", ".join(f"{c}: {p}" for p, c in PRESET_COLUMN.items() if p not in ("hash", "full_name"))
+    configs = {
+        "people missing": "tables: {people: {email: email}}\nexclude: ['customer.*']",
+        "people covered": f"tables: {{people: {{{every}}}}}\nexclude: ['customer.*']",
+        "review": f"tables: {{people: {{{every}}}}}\nexclude: ['customer.*']\nreview: {{'*.x': hash}}",
+        "conflict": f"tables: {{people: {{{every}}}}}\nexclude: ['customer.*', 'people.email']",
+    }
+    return spark.createDataFrame([(n, _command(spark, sf_dir, c, "check", "--config", "CONFIG")[0]) for n, c in configs.items()], "config string, code int")
+
+
+_STARTED = [(c, p) for p, c in PRESET_COLUMN.items() if p not in ("hash", "full_name")]
+
+
+@query("cmd_init", f"select * from (values {_values(_STARTED)}) r(c, rule)")
+def _(spark, sf_dir):
+    """What init proposes for the columns of the table of persons, by name and content."""
+    import yaml
+
+    code, files, _ = _command(spark, sf_dir, "", "init", "--out", "MADE")
+    if code:
+        raise RuntimeError(f"init ended with {code}")
+    raw = yaml.safe_load(files["made.yaml"])
+    rows = [*(raw.get("tables") or {}).get("people", {}).items(), *((p.split(".")[-1], r) for s in ("columns", "review") for p, r in (raw.get(s) or {}).items() if p.startswith(("people.", "*.")))]
+    return spark.createDataFrame([(c, r if isinstance(r, str) else r["preset"]) for c, r in rows], "c string, rule string")
+
+
 @query("stream_anonymize", SQL["preset_email"])
 def _(spark, sf_dir):
     from maskwright.plans.shared import shared_path, written
