@@ -38,3 +38,19 @@ def test_edge_cases(spark, rows):
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "ba")], "doc_id int, text string"), none).collect()] == ["und"]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.training_rows(empty) == [] and langid.identify(empty, model).count() == 0
+
+
+def test_held_out_fifth_of_the_real_table(spark):
+    """As the query does: learns from four fifths of the documents, names the fifth that is held out."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist() if r["text"] and r["lang"]]
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows]
+    model = langid.train([(r["text"], r["lang"]) for r, h in zip(rows, held, strict=True) if not h][:1200])
+    fifth = [r for r, h in zip(rows, held, strict=True) if h and any(map(str.isalpha, r["text"]))]
+    right = [model.predict(r["text"])[0] == r["lang"] for r in fifth]
+    assert len(fifth) > 150 and sum(right) >= 0.98 * len(right)
+    kept = [model.predict(r["text"])[1] >= model.threshold for r in fifth]
+    assert sum(kept) >= 0.98 * len(kept)

@@ -47,3 +47,18 @@ def test_frames(spark, rows):
     none = toxicity.train(toxicity.training_rows(docs.limit(0), grades), 3)
     assert not any(r.toxic for r in toxicity.severity(docs, none).collect())
     assert toxicity.severity(docs.limit(0), none).count() == 0
+
+
+def test_held_out_half_of_the_real_labels():
+    """Learns from the labelled documents of even id, some 220 of them toxic, judges those of odd id: what it names is toxic, and it
+    finds two in three, whose words it has seen."""
+    import pyarrow.parquet as pq
+
+    text = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    labels = [r for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["doc_id"] in text and r["toxic"] is not None]
+    grade = lambda r: 0 if not r["toxic"] else 2 if r["quality"] == 0 else 1
+    model = toxicity.train([(text[r["doc_id"]], grade(r)) for r in labels if r["doc_id"] % 2 == 0][:2500], 3)
+    judged = [(model.exceed(text[r["doc_id"]])[0] > 0.5, bool(r["toxic"])) for r in labels if r["doc_id"] % 2]
+    found = sum(a and b for a, b in judged)
+    toxic, named = sum(b for _, b in judged), sum(a for a, _ in judged)
+    assert toxic > 20 and found >= 0.65 * toxic and found >= 0.95 * named
