@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, decontam, langid, secrets, simhash
-from maskwright.llm.common import sized
+from maskwright.llm.common import drop_table, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten words in a row of a benchmark item."""
+    """Documents without any ten words in a row of a benchmark item, found in the postings of all that are left."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
 
 
@@ -38,12 +38,15 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table of documents, each but the last written before the next one starts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the table of documents, each but the last written before the next one starts, which then deletes what it read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = sized(spark, docs, name)
+            docs, path = materialize(docs, name)
+            if before:
+                drop_table(spark, before)
+            before = path
     return docs
 
 
