@@ -200,26 +200,28 @@ def intersect(h: np.ndarray, steps: list[np.ndarray], ends: np.ndarray, terms: n
     return live[exact], start, live[window], place
 
 
-def _looked_up(index_: Index, terms: DataFrame) -> tuple[DataFrame, str]:
-    """``shard, h, n, places``: the postings of the terms in ``terms(h)``, and each shard's documents; written.
+def _looked_up(index_: Index, terms: DataFrame) -> tuple[DataFrame, str, bool]:
+    """``shard, h, n, places``: the postings of the terms in ``terms(h)``, and each shard's documents; written. Also the path, and
+    whether the terms are few.
 
     The terms are broadcast if they are few by count; else Spark has to send the whole index to them.
     """
     used, at = materialize(terms.distinct(), "terms")
-    some = F.broadcast(used) if used.count() <= FEW_TERMS else used
+    few = used.count() <= FEW_TERMS
+    some = F.broadcast(used) if few else used
     found = index_.postings.select("shard", "h", "n", "places").join(some, "h", "left_semi").unionByName(index_.shards.select("shard", "h", "n", "places"))
-    out = materialize(found, "lists")
+    out, path = materialize(found, "lists")
     drop_table(terms.sparkSession, at)
-    return out
+    return out, path, few
 
 
-def _ranked(each: DataFrame, lists: DataFrame) -> DataFrame:
+def _ranked(each: DataFrame, lists: DataFrame, few: bool) -> DataFrame:
     """``window, h array<long>, place array<int>`` of the windows of which the documents have all terms, from the rarest on.
 
     Terms are counted over all documents; of equally rare ones the first in the window counts as the rarer.
     """
     counts = lists.where("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
-    all_ = each.join(counts, "h", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "place", "h"))).alias("t"))
+    all_ = each.join(F.broadcast(counts) if few else counts, "h", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "place", "h"))).alias("t"))
     return all_.where(~F.exists("t", lambda x: x["n"].isNull())).select("window", F.col("t.h").alias("h"), F.col("t.place").alias("place"))
 
 
@@ -236,8 +238,8 @@ def matches(index_: Index, found: DataFrame, reach: int | None = None) -> tuple[
     """
     distinct = found.groupBy("window").agg(F.first("terms").alias("terms"))
     each, each_at = materialize(distinct.select("window", F.posexplode("terms").alias("place", "term")).select("window", "place", F.xxhash64("term").alias("h")), "each")
-    lists, lists_at = _looked_up(index_, each.select("h"))
-    ranked, ranked_at = materialize(_ranked(each, lists), "ranked")
+    lists, lists_at, few = _looked_up(index_, each.select("h"))
+    ranked, ranked_at = materialize(_ranked(each, lists, few), "ranked")
     blocks = max(1, -(-ranked.count() // WINDOWS))
     ranked = ranked.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
     todo = ranked.withColumn("rarest", F.col("h")[0]).join(lists.where("h is not null").select(F.col("h").alias("rarest"), "shard"), "rarest").select("shard", "block", "window", "h", "place")
