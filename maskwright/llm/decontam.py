@@ -399,7 +399,7 @@ cand as (select gram, k, post.doc_id, post.p from rare join post using (term)),
 close as (select c.gram, c.doc_id, c.p from cand c join (select distinct gram, term from wt) t using (gram) join post q on q.doc_id = c.doc_id and q.term = t.term and q.p between c.p - 15 and c.p + 15
           group by c.gram, c.doc_id, c.p, c.k having count(distinct t.term) = c.k),
 near as (select doc_id, count(distinct item_id) as n_near from close join named using (gram) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as names from (select distinct doc_id, cast(item_id as varchar) as s from found) group by doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as names from (select distinct doc_id, cast(item_id as varchar) as s from found where item_id is not null) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, cast(coalesce(n_near, 0) as bigint) as n_near
 from d left join hit using (doc_id) left join items using (doc_id) left join near using (doc_id)"""
