@@ -25,6 +25,8 @@ SAMPLE, COMMON, MOST_COMMON = 16_000, 4, 100_000
 RADIUS = 4
 #: With how many sets of each shingle the others are held in each later round; the last one takes all, so that no pair is left out.
 PIVOTS = (8, None)
+#: First bits of a shingle's hash by which a set's histogram counts.
+BITS = 6
 #: Rows of texts or sets that Python holds at once.
 ROWS = 500
 
@@ -162,9 +164,28 @@ def _across(postings: DataFrame, similarity: float, pivots: int | None, seed: in
     return _grouped(postings, "token", work, schema)
 
 
+def _histogram(tokens: np.ndarray) -> bytes:
+    """How many shingles of a set begin with each of the first bits of a hash: two sets share no more than the lesser counts add up to."""
+    return np.bincount((tokens >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype("<u4").tobytes()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of which the exact Jaccard similarity is ``similarity`` or more."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a")
+    """The pairs of which the exact Jaccard similarity is ``similarity`` or more.
+
+    Histograms go to all pairs and rule out most of those that are not similar, never one that is; whole sets go to the others only.
+    """
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1).astype(np.int64) for c in (2, 3))
+            most = np.minimum(x, y).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(most >= similarity * (x.sum(1) + y.sum(1) - most) - 1e-9))
+
+    def joined(some: DataFrame, column: str) -> DataFrame:
+        side = lambda n: sets.select(F.col("node").alias(n), F.col(column).alias(f"of_{n}"))
+        return some.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
+
+    both = joined(joined(pairs, "histogram").mapInArrow(possible, "a long, b long"), "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +198,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                     keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,9 +262,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
                     own.append(node not in seen and _node(t) == node)  # an id may have several texts
                     if own[-1]:
                         seen.add(node)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([t.tobytes() for t in found], pa.binary())], ["node", "tokens"]).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([t.tobytes() for t in found], pa.binary()), pa.array([_histogram(t) for t in found], pa.binary())], ["node", "tokens", "histogram"]).filter(pa.array(own, pa.bool_()))
 
-    sets, sets_at = materialize(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(whole, "node long, tokens binary"), "sets")
+    sets, sets_at = materialize(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(whole, "node long, tokens binary, histogram binary"), "sets")
 
     _free(spark)
     # a pair that is similar shares a shingle, so both are among the sets
