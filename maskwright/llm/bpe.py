@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import only
+from maskwright.llm.common import lean_map, only
 
 #: Words of which a worker keeps the encoding.
 CACHED = 400_000
@@ -282,7 +282,7 @@ def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
             for lo in range(0, b.num_rows, 200):
                 yield make(b.slice(lo, 200))
 
-    return df.mapInArrow(run, schema)
+    return lean_map(df, run, schema, keep=True)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

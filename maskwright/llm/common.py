@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,35 @@ def sized(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)[0]
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def forget() -> None:
+    """Drops the tokenizers that an earlier stage left in this worker: Spark's workers are used again, whatever the stage."""
+    if (bpe := sys.modules.get("maskwright.llm.bpe")) and bpe.codec.cache_info().currsize:
+        bpe.codec.cache_clear()
+        gc.collect()  # it refers to itself
+        trim()
+
+
+def lean_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: bool = False) -> DataFrame:
+    """``mapInArrow``, after which the workers keep no free memory, and in which they have no tokenizer but with ``keep``."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(lean, schema)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of the input can't clash with ours."""
     return df.select(*(F.col(f"`{n}`") for n in names))

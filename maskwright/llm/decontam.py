@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import WORD_BYTES, drop_table, materialize, only
+from maskwright.llm.common import WORD_BYTES, drop_table, forget, lean_map, materialize, only, trim
 
 #: Words of a shard of documents, about; a longer document is one by itself.
 SHARD_WORDS = 1_000_000
@@ -44,23 +44,24 @@ def _signed(x: int) -> int:
 def _posted(shard: int, ids: list, texts: list[str | None], seed: int) -> pa.RecordBatch:
     """The index of a shard, which is one run of words with a gap after each document: a row for each term with its places, as
     steps from one to the next, and a row without a term for the documents, whose places are the gaps' after each."""
-    words, terms = [words_of(t) for t in texts], _Terms()
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    run = np.fromiter((terms[w] for some in words for w in some), np.int64, int(sizes.sum()))
-    at = np.arange(len(run)) + np.repeat(np.arange(len(words)), sizes)
+    terms = _Terms()
+    each = [np.fromiter(map(terms.__getitem__, words_of(t)), np.int32) for t in texts]  # the words of one text at a time
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    run = np.concatenate(each)
+    at = np.arange(len(run)) + np.repeat(np.arange(len(each)), sizes)
+    del each
     order = np.argsort(run, kind="stable")
     count = np.bincount(run, minlength=len(terms))
     first = np.cumsum(count) - count
     at = at[order]
     steps = np.diff(at, prepend=0)
     steps[first] = at[first]
-    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     # the documents come last
     steps = np.concatenate((steps, sizes + 1)).astype("<i4")
     offsets = np.concatenate((first, [len(at), len(steps)])).astype(np.int32) * 4
     places = pa.Array.from_buffers(pa.binary(), len(terms) + 1, [None, pa.py_buffer(offsets), pa.py_buffer(steps)])
     h = [_signed(xxhash.xxh64_intdigest(t, 42)) for t in terms]
-    key = lambda s: [_signed(xxhash.xxh64_intdigest(r, s)) for r in raw]
+    key = lambda s: [_signed(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), s)) for t in texts]
     docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(key(42), pa.int64()), pa.array(key(seed), pa.int64())], ["id", "words", "key1", "key2"])
     return pa.RecordBatch.from_arrays(
         [
@@ -111,18 +112,19 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         texts: list = []
         held = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                held += len(t or "") // 6 + 1
-                if held >= SHARD_WORDS:
-                    yield _posted(shard, ids, texts, seed)
-                    ids, texts, held, shard = [], [], 0, shard + 1
+            for lo in range(0, b.num_rows, 500):
+                for i, t in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns), strict=True):
+                    ids.append(i)
+                    texts.append(t)
+                    held += len(t or "") // 6 + 1
+                    if held >= SHARD_WORDS:
+                        yield _posted(shard, ids, texts, seed)
+                        ids, texts, held, shard = [], [], 0, shard + 1
         if ids:
             yield _posted(shard, ids, texts, seed)
 
     plain = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return Index(*materialize(plain.mapInArrow(run, _POSTING), "postings", "zstd"), seed)
+    return Index(*materialize(lean_map(plain, run, _POSTING), "postings", "zstd"), seed)
 
 
 def windows(benchmark: DataFrame, size: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +144,7 @@ def windows(benchmark: DataFrame, size: int = 10, item_col: str = "item_id", tex
                     ["window", "terms", "item"],
                 )
 
-    return plain.mapInArrow(run, f"window binary, terms array<binary>, item {dict(plain.dtypes)['item']}")
+    return lean_map(plain, run, f"window binary, terms array<binary>, item {dict(plain.dtypes)['item']}")
 
 
 def _within(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -286,7 +288,14 @@ def matches(index_: Index, found: DataFrame, reach: int | None = None) -> tuple[
         shard = lists_.column("shard")[0].as_py()
         return pa.concat_tables([pa.Table.from_arrays([pa.array(np.full(len(d), shard)), ints(d), a, b, w, pa.array(np.full(len(d), near))], schema=schema) for d, a, b, w, near in parts])
 
-    out, at = materialize(todo.groupBy("shard", "block").cogroup(met.groupBy("shard", "block")).applyInArrow(run, _MATCH), "matches")
+    def lean(windows_: pa.Table, lists_: pa.Table) -> pa.Table:
+        forget()
+        try:
+            return run(windows_, lists_)
+        finally:
+            trim()
+
+    out, at = materialize(todo.groupBy("shard", "block").cogroup(met.groupBy("shard", "block")).applyInArrow(lean, _MATCH), "matches")
     for path in (each_at, lists_at, ranked_at):
         drop_table(found.sparkSession, path)
     return out, at

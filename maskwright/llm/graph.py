@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import drop_table, materialize
+from maskwright.llm.common import drop_table, lean_map, materialize
 
 
 #: Edges that one task contracts to stars at a time.
@@ -52,7 +52,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if n:
             yield made()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return lean_map(edges, run, "u long, v long")
 
 
 def _round(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import drop_table, materialize, only
+from maskwright.llm.common import drop_table, lean_map, materialize, only
 from maskwright.llm.graph import components
 from maskwright.llm.simhash import _majority, simhash_links
 from maskwright.llm.substrings import _free
@@ -77,7 +77,7 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0)
-    many = some.mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    many = lean_map(some, counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     return np.array([r.token for r in many.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
 
 
@@ -106,7 +106,7 @@ def _grouped(df: DataFrame, key: str, work, schema: str) -> DataFrame:
         if held:
             yield from work([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return lean_map(df.repartition(key).sortWithinPartitions(key), run, schema)
 
 
 def _batch(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
@@ -244,7 +244,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similarit
                 own = [_node(t) == node for t, node in zip(found, some.column(0).to_pylist(), strict=True)]  # an id may have several texts
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([t.tobytes() for t in found], pa.binary()), some.column(2)], ["node", "tokens", "groups"]).filter(pa.array(own, pa.bool_()))
 
-    sets = docs.join(F.broadcast(wanted), "doc_id").select("node", "text", "groups").mapInArrow(whole, "node long, tokens binary, groups array<struct<a:long,part:int>>")
+    sets = lean_map(docs.join(F.broadcast(wanted), "doc_id").select("node", "text", "groups"), whole, "node long, tokens binary, groups array<struct<a:long,part:int>>")
     sent = sets.select(F.explode("groups").alias("g"), "node", "tokens").select("g.a", "g.part", "node", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similarit
                         b.append(node)
                 yield _batch("a long, b long", a, b)
 
-    return sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("node") != F.col("a")).mapInArrow(run, "a long, b long")
+    return lean_map(sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("node") != F.col("a")), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, maps: DataFrame, reps: DataFrame, docs: DataFrame, k: int, similarity: float, room: float) -> tuple[DataFrame, list[str]]:
@@ -284,7 +284,7 @@ def _verified(pairs: DataFrame, maps: DataFrame, reps: DataFrame, docs: DataFram
 
     def mapped(some: DataFrame) -> DataFrame:
         side = lambda x: maps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"of_{x}"))
-        return some.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(possible, "a long, b long, n long")
+        return lean_map(some.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "of_a", "of_b"), possible, "a long, b long, n long")
 
     weight = pairs.join(maps.select(F.col("node").alias("b"), "n"), "b").agg(F.sum(F.col("n") / 2 + 16).alias("w")).first().w
     left, left_at = _sliced(pairs, weight, 0, room, mapped, "possible")
@@ -328,7 +328,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
                     heads.append(tokens[: len(tokens) - int(needed(len(tokens), similarity)) + 1].tobytes() if len(tokens) else b"")
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(histograms, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "node", "n", "head", "fp", "histogram", "bits"])
 
-    heads, heads_at = materialize(docs.mapInArrow(made, "doc_id long, node long, n long, head binary, fp long, histogram binary, bits binary"), "heads")
+    heads, heads_at = materialize(lean_map(docs, made, "doc_id long, node long, n long, head binary, fp long, histogram binary, bits binary"), "heads")
     _free(spark)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
                 yield _batch("token, node, n, pos", np.frombuffer(b"".join(parts), np.int64), node, n, pos)
 
     reps, _ = materialize(heads.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "reps")
-    postings, postings_at = materialize(_shared(heads.select("node", "n", "head").mapInArrow(dealt, "token long, node long, n long, pos long"), similarity), "postings")
+    postings, postings_at = materialize(_shared(lean_map(heads.select("node", "n", "head"), dealt, "token long, node long, n long, pos long"), similarity), "postings")
     _free(spark)
     # whoever shares a shingle may have to be compared
     wanted = postings.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id"))

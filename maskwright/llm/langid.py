@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import only
+from maskwright.llm.common import lean_map, only
 
 BUCKETS = 1 << 14
 WIDTH = 16
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 out = [x == UND or s < m.threshold for x, s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+    return lean_map(plain, run, f"doc_id {dict(plain.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -174,10 +174,12 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.predict(t) for t in b.column(text_col).to_pylist()]
-            yield b.filter(pa.array([x != UND and s >= m.threshold for x, s in found], pa.bool_()))
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                found = [m.predict(t) for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array([x != UND and s >= m.threshold for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean_map(docs, run, docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

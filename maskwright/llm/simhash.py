@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import drop_table, materialize, only
+from maskwright.llm.common import drop_table, lean_map, materialize, only
 from maskwright.llm.graph import components
 
 #: Fingerprints that are compared with each other in one group at most, about; larger buckets are dealt out in pairs of parts.
@@ -240,7 +240,7 @@ def simhash_links(reps: DataFrame, radius: int = 4, blocks: int | None = None) -
         if held:
             yield links()
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return lean_map(dealt.repartition("bucket").sortWithinPartitions("bucket"), run, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, k: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
@@ -335,7 +335,7 @@ def similar_links(reps: DataFrame, similarity: float, part: int = 2048, seed: in
         if held:
             yield links()
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return lean_map(dealt.repartition("bucket").sortWithinPartitions("bucket"), run, "u long, v long")
 
 
 def simhash_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
