@@ -118,6 +118,7 @@ class Automaton:
             taken.setdefault(u, []).extend([(when, self.place[v], self.place[v] + 1), (when, first, stop[v])])
         self.taken = {u: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for u, r in taken.items()}
         self.rows = {t: self.row(t) for t in spelled}
+        del self.left, self.right, self.time, self.merged, self.taken  # a worker keeps what encoding needs only
 
     def row(self, token: int) -> array:
         """The bounds, in order, of the ranges of label numbers for which the state of ``token`` has no arc."""

@@ -1,3 +1,4 @@
+import gc
 import tracemalloc
 
 import pyarrow as pa
@@ -29,3 +30,16 @@ def test_a_shard_is_posted_without_all_its_words_at_once():
     assert found.num_rows == len({w for t in texts for w in t.split()}) + 1 and sum(found.column(3).to_pylist()[:-1]) == 300_000
     print(f"{peak / 1e6:.1f} MB")
     assert peak < 20e6
+
+
+def test_a_codec_keeps_no_tables_of_its_compilation():
+    tracemalloc.start()
+    try:
+        codec = bpe.Codec(bpe.vocabulary())
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(codec.encode("some words")) == 8
+    print(f"{held / 1e6:.1f} MB")
+    assert held < 60e6
